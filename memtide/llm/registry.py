@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
-from . import base, line_rules, url_filter
+from pyspark.sql import functions as F
+
+from . import base, line_rules, packing, url_filter, warc
+
+#: Where the public vocabulary files lie; a parameter of every operator that tokenises.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op4_pack(spark, sf_dir):
+    return packing.pack(base.table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_warc(spark, sf_dir):
+    back = warc.read_archives(warc.write_archives(base.table(spark, sf_dir, "pages")))
+    return back.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op7_line_rules(spark, sf_dir):
@@ -14,11 +34,14 @@ def op8_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_pack": op4_pack,
+    "op5_warc": op5_warc,
     "op7_line_rules": op7_line_rules,
     "op8_url_filter": op8_url_filter,
 }
 
 ORACLES = {
+    "op5_warc": warc.SQL,
     "op7_line_rules": line_rules.SQL,
     "op8_url_filter": url_filter.SQL,
 }
