@@ -78,18 +78,19 @@ def _repeated_words(h: np.ndarray, first: np.ndarray, size: int = 5) -> np.ndarr
 
 
 def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """All counts of a chunk of texts; per-line work included."""
+    """All counts of a chunk of texts, per-line work included; ``_words`` has the words themselves."""
     n, docs = len(data), len(off) - 1
     lo, hi = off[:-1], off[1:]
     space = base.NONSPACE_IN[data]
     start, end, first = base.words(data, off, base.NONSPACE, base.NONSPACE_IN)
     code_points = _sums(~space & ((data & 0xC0) != 0x80))
     symbols, capitals = _sums(_SYMBOL[data]), _sums(_CAPITAL[data])
+    h = base.word_hashes(data, start, end, np.arange(256, dtype=np.uint8))
     out = {
         "n_words": np.diff(first),
         "word_chars": code_points[hi] - code_points[lo],
         "n_symbols": symbols[hi] - symbols[lo],
-        "n_repeat_words": _repeated_words(base.word_hashes(data, start, end, np.arange(256, dtype=np.uint8)), first),
+        "n_repeat_words": _repeated_words(h, first),
     }
     # lines
     feeds = np.flatnonzero(data == 10) + 1
@@ -133,6 +134,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out["n_lines"] = per_doc(np.ones(len(s)))
     out["n_bad_lines"] = per_doc(bad)
     out["lost_chars"] = per_doc(np.where(bad, chars, 0))
+    out["_words"] = (start, end, first, h)
     return out
 
 
