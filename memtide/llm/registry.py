@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import base, line_rules, packing, rule_ensemble, url_filter, warc
+from . import base, decontaminate, line_rules, packing, rule_ensemble, url_filter, warc
 
 #: Where the public vocabulary files lie; a parameter of every operator that tokenises.
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op2_decontaminate(spark, sf_dir):
+    got = decontaminate.decontaminate(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+    return got.drop("text_hash")
+
+
 def op3_rule_ensemble(spark, sf_dir):
     got = rule_ensemble.classify(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
     return got.select("doc_id", "held_out", "score", "predicted")
@@ -39,6 +44,7 @@ def op8_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_pack": op4_pack,
     "op5_warc": op5_warc,
@@ -47,6 +53,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_decontaminate": decontaminate.SQL,
     "op5_warc": warc.SQL,
     "op7_line_rules": line_rules.SQL,
     "op8_url_filter": url_filter.SQL,
