@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import base, decontaminate, line_rules, packing, rule_ensemble, url_filter, warc
+from . import base, decontaminate, line_rules, near_dedup, packing, rule_ensemble, url_filter, warc
 
 #: Where the public vocabulary files lie; a parameter of every operator that tokenises.
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.url_filter(base.table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(base.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_rule_ensemble": op3_rule_ensemble,
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op7_line_rules": op7_line_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES = {
