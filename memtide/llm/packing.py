@@ -7,6 +7,8 @@ which a segment tree over remaining capacities finds.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -19,37 +21,65 @@ from . import base
 WINDOW, END_ID = 4096, 2
 #: Pieces packed together by one task; more groups, not larger ones, as the corpus grows.
 GROUP_PIECES = 1 << 15
-#: Distinct chunks whose ids a worker remembers before it starts anew.
+#: Distinct chunks whose ids a worker remembers; later ones are encoded where they occur.
 CACHE_CHUNKS = 300_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTER = _byte_letters()
+#: Chunks that are surely one run of letters (each its own normal form) and one of signs: no contractions, no special tokens.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
 class Encoder:
     """Token ids of whole texts by their chunks between blanks.
 
     The vocabulary's splitting pattern never joins characters across white space and its normaliser
     keeps blanks and line feeds apart from their neighbours, so a text's ids are its chunks' ids in
-    order; each distinct chunk is encoded once and texts are gathered from the table.
+    order; each distinct chunk is encoded once and texts are gathered from the table.  A chunk of
+    letters and signs goes to the merge model at once, any other through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        self.model = self.tokenizer.model
+        self.signs: dict[str, list[int]] = {}
         self.index = {"\n": 0}  # no chunk holds a line feed: this one stands for the end of a text
         self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.flat = np.array([END_ID], np.uint32)
 
+    def _piece(self, run: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(run if run.isascii() else "".join(map(_LETTER.__getitem__, run.encode())))]
+
+    def ids(self, chunk: str) -> list[int]:
+        m = _SIMPLE.fullmatch(chunk)
+        if not m:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        out = self._piece(m[1].lower())
+        if m[2]:
+            if m[2] not in self.signs:
+                if len(self.signs) >= CACHE_CHUNKS:
+                    self.signs.clear()
+                self.signs[m[2]] = self._piece(m[2])
+            out = out + self.signs[m[2]]
+        return out
+
     def add(self, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        got = [self.ids(c) for c in chunks]
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))])
         at = len(self.index)
-        self.index.update((c, at + i) for i, c in enumerate(chunks))
+        self.index.update(zip(chunks, range(at, at + len(chunks)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each with END_ID; bounds of the texts)."""
@@ -59,16 +89,18 @@ class Encoder:
             p.append("\n")
             parts += p
             count.append(len(p))
-        new = set(parts).difference(self.index)
-        if len(self.index) + len(new) > CACHE_CHUNKS and len(self.index) > 1:
-            self.clear()
-            new = set(parts).difference(self.index)
+        new = sorted(set(parts).difference(self.index))
+        known, flat = len(self.index), len(self.flat)
         if new:
-            self.add(sorted(new))
+            self.add(new)
         at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
         size = self.size[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
+        if len(self.index) > CACHE_CHUNKS:  # the common chunks came first: what this call added goes again
+            for c in new:
+                del self.index[c]
+            self.start, self.size, self.flat = self.start[:known], self.size[:known], self.flat[:flat]
         return ids, upto[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)]
 
 
