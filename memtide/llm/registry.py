@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import base, decontaminate, line_rules, near_dedup, packing, rule_ensemble, url_filter, warc
+from . import base, decontaminate, line_rules, near_dedup, packing, rule_ensemble, suffix_dedup, url_filter, warc
 
 #: Where the public vocabulary files lie; a parameter of every operator that tokenises.
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op5_warc(spark, sf_dir):
     return back.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(base.table(spark, sf_dir, "documents"))
+
+
 def op7_line_rules(spark, sf_dir):
     return line_rules.line_rules(base.table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_pack": op4_pack,
     "op5_warc": op5_warc,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_rules": op7_line_rules,
     "op8_url_filter": op8_url_filter,
     "op9_near_dedup": op9_near_dedup,
