@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import base, decontaminate, line_rules, near_dedup, packing, rule_ensemble, suffix_dedup, url_filter, warc
+from . import base, compact_windows, decontaminate, line_rules, near_dedup, packing, rule_ensemble, suffix_dedup, url_filter, warc
 
 #: Where the public vocabulary files lie; a parameter of every operator that tokenises.
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(base.table(spark, sf_dir, "documents"))
 
 
+def op10_compact_windows(spark, sf_dir):
+    return compact_windows.passage_dedup(base.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_rule_ensemble": op3_rule_ensemble,
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_line_rules": op7_line_rules,
     "op8_url_filter": op8_url_filter,
     "op9_near_dedup": op9_near_dedup,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 ORACLES = {
