@@ -1,13 +1,63 @@
-"""Five stages over ``documents``, each written and reread as the next one's input."""
+"""Five stages over ``documents``: each keeps, merges or cuts what its predecessor kept, is written and reread.
+
+Stages take (spark, docs, sf_dir) and return all columns of ``documents``; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from memtide.llm import base, compact_windows, decontaminate, near_dedup, packing, registry, rule_ensemble
+from pyspark.sql import functions as F
+
+
+def quality(spark, docs, sf_dir):
+    """Rejected documents go: those that the rule ensemble scores under its threshold.
+
+    The decision belongs to a row, so scored rows and documents meet by id and text hash; null ids meet too.
+    """
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    scored = rule_ensemble.classify(rows, base.table(spark, sf_dir, "labels"), keep=("__h",))
+    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("__i"), F.col("__h").alias("__b")).distinct()
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["__i"]) & (rows["__h"] == bad["__b"]), "left_anti").drop("__h")
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each class of near-duplicate documents the one with the smallest id stays."""
+    return near_dedup.keep_first(docs)
+
+
+def passages(spark, docs, sf_dir):
+    """Passages that are near an earlier document's are cut out; n_chars follows."""
+    cut = compact_windows.remove_passages(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def decontaminated(spark, docs, sf_dir):
+    """Documents that hold windows of MIN_ITEMS benchmark items or more go."""
+    judged = decontaminate.decontaminate(docs, base.table(spark, sf_dir, "benchmark"))
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__b")).distinct()
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["__i"]) & (rows["__h"] == bad["__b"]), "left_anti").drop("__h")
+
+
+def packed(spark, docs, sf_dir):
+    """Every document's token pieces with their sequences and offsets."""
+    return packing.pack(docs, registry.tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", passages),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: Fitted models, samples and sequences are beyond SQL; tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = base.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = base.stash(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
