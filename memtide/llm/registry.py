@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import base, compact_windows, decontaminate, line_rules, near_dedup, packing, rule_ensemble, suffix_dedup, url_filter, warc
+from . import base, compact_windows, decontaminate, license_scan, line_rules, near_dedup, packing, rule_ensemble, suffix_dedup, url_filter, warc
 
 #: Where the public vocabulary files lie; a parameter of every operator that tokenises.
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_license_scan(spark, sf_dir):
+    docs = base.table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", license_scan.document_path(F.col("source"), F.col("doc_id")).alias("path"))
+    return license_scan.license_scan(files, keep=("doc_id",))
+
+
 def op2_decontaminate(spark, sf_dir):
     got = decontaminate.decontaminate(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
     return got.drop("text_hash")
@@ -56,6 +62,7 @@ def op10_compact_windows(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_pack": op4_pack,
