@@ -2,5 +2,376 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import ecc, modes, text, times
+from ..operators import check, listing, mutate, space
+from ..sources import cards as card_source
+from ..sources import containers, layout
+from . import virtual as v
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+_LETTERS = " || ".join(f"CASE WHEN mode & {1 << i} <> 0 THEN '{c}' ELSE '-' END" for i, c in enumerate(modes.LETTERS))
+_PROTECTION = """CASE WHEN mode & 4096 <> 0 THEN CASE WHEN mode & 2048 <> 0 THEN 'PocketStation' ELSE 'PlayStation' END
+ WHEN mode & 10 = 0 THEN 'Delete Protected' WHEN mode & 10 = 2 THEN 'Not Protected' WHEN mode & 10 = 8 THEN 'Copy & Delete Protected' ELSE 'Copy Protected' END"""
+_SIZES = f"""WITH {v.DIRS}, {v.FILES},
+s AS (SELECT dir_id, count(*) AS slots, count(*) FILTER (WHERE mode & 32768 <> 0) AS n_files, sum(CASE WHEN mode & 32768 <> 0 THEN (length + 1023) // 1024 * 1024 ELSE 0 END)::BIGINT AS bytes FROM v_files GROUP BY 1),
+sized AS (SELECT card_id, dir_id, slot, name, mode, coalesce(n_files, 0) AS n_files, (((coalesce(slots, 0) + 2) * 512 + 1023) // 1024 * 1024 + coalesce(bytes, 0))::BIGINT AS size FROM v_dirs LEFT JOIN s USING (dir_id))"""
+
+
+@query("save_info", f"{_SIZES} SELECT card_id, slot, name, n_files, size, {_PROTECTION} AS protection FROM sized WHERE mode & 32816 = 32800")
+def save_info(spark, sf_dir):
+    sized = space.directory_sizes(v.dirs(spark, sf_dir), v.files(spark, sf_dir))
+    return listing.save_directories(sized).select("card_id", "slot", "name", "n_files", "size", modes.protection(F.col("mode")).alias("protection"))
+
+
+@query("dir_size", f"{_SIZES} SELECT dir_id, size FROM sized")
+def dir_size(spark, sf_dir):
+    return space.directory_sizes(v.dirs(spark, sf_dir), v.files(spark, sf_dir)).select("dir_id", "size")
+
+
+@query("tree_size", f"""{_SIZES} SELECT card_id, '/' || name AS path, size FROM sized
+UNION ALL SELECT card_id, '/', (sum(size) + ((count(*) + 2) * 512 + 1023) // 1024 * 1024)::BIGINT FROM sized GROUP BY 1""")
+def tree_size(spark, sf_dir):
+    d, f = v.dirs(spark, sf_dir), v.files(spark, sf_dir)
+    slots = f.groupBy("dir_id").agg(F.count(F.lit(1)).alias("slots"))
+    folders = d.join(slots, "dir_id", "left").select("card_id", F.concat(F.lit("/"), "name").alias("path"), F.lit(True).alias("is_dir"), (F.coalesce("slots", F.lit(0)) + 2).alias("length"))
+    live = f.where(modes.exists(F.col("mode"))).join(d.select("dir_id", "card_id", "name"), "dir_id")
+    leaves = live.select("card_id", F.concat(F.lit("/"), "name", F.lit("/"), F.col("line").cast("string")).alias("path"), F.lit(False).alias("is_dir"), "length")
+    roots = d.groupBy("card_id").agg((F.count(F.lit(1)) + 2).alias("length")).select("card_id", F.lit("/").alias("path"), F.lit(True).alias("is_dir"), "length")
+    return space.tree_sizes(folders.unionByName(leaves).unionByName(roots))
+
+
+@query("card_summary", f"""{_SIZES}, u AS (SELECT card_id, count(*) AS n_saves, sum(size)::BIGINT AS bytes, string_agg(name, ',' ORDER BY slot) AS names FROM sized GROUP BY 1)
+SELECT c_custkey AS card_id, coalesce(n_saves, 0) AS n_saves, coalesce(bytes, 0) AS bytes, coalesce(names, '') AS names FROM customer LEFT JOIN u ON c_custkey = card_id""")
+def card_summary(spark, sf_dir):
+    sized = space.directory_sizes(v.dirs(spark, sf_dir), v.files(spark, sf_dir))
+    s = space.summaries(v.cards(spark, sf_dir).select("card_id"), sized)
+    return s.select("card_id", F.size("saves").cast("long").alias("n_saves"), F.aggregate("saves", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("bytes"), F.array_join(F.col("saves.name"), ",").alias("names"))
+
+
+@query("geometry", """SELECT mb AS size_mb, mb * 1024 AS clusters, (mb * 1024 - 10 + 255) // 256 AS fat_clusters, 8 + 1 + (mb * 1024 - 10 + 255) // 256 AS alloc_offset,
+(mb * 128 - 2) * 8 - (9 + (mb * 1024 - 10 + 255) // 256) AS alloc_end, ((mb * 128 - 2) * 8 - (9 + (mb * 1024 - 10 + 255) // 256)) * 1024 AS total_bytes FROM (VALUES (8), (16), (32), (64)) t(mb)""")
+def geometry(spark, sf_dir):
+    sizes = spark.createDataFrame([(m,) for m in layout.SIZES_MB], "size_mb long")
+    return space.geometry(sizes).select("size_mb", "clusters", "fat_clusters", "alloc_offset", "alloc_end", "total_bytes")
+
+
+@query("df_free_space", f"""WITH {v.CHAINS}, u AS (SELECT card_id, count(*) AS used FROM v_fat WHERE allocated GROUP BY 1)
+SELECT c_custkey AS card_id, (8135 - coalesce(used, 0)) * 1024 AS free_bytes, 8135 * 1024 AS total_bytes FROM customer LEFT JOIN u ON c_custkey = card_id""")
+def df_free_space(spark, sf_dir):
+    return space.free_space(v.fat(v.chains(spark, sf_dir)), v.cards(spark, sf_dir))
+
+
+@query("free_text", f"""WITH {v.CHAINS}, u AS (SELECT card_id, count(*) AS used FROM v_fat WHERE allocated GROUP BY 1)
+SELECT c_custkey AS card_id, format('{{:,}}', 8135 - coalesce(used, 0)) || ' KB Free' AS line FROM customer LEFT JOIN u ON c_custkey = card_id""")
+def free_text(spark, sf_dir):
+    return listing.free_text(df_free_space(spark, sf_dir))
+
+
+@query("ls_mode_string", f"""WITH {v.DIRS}, {v.FILES} SELECT card_id, name AS dir_path, line AS slot, {_LETTERS.replace('mode', 'f.mode')} AS mode_string, length, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, line::VARCHAR AS name
+FROM v_files f JOIN v_dirs USING (dir_id) WHERE f.mode & 32768 <> 0""")
+def ls_mode_string(spark, sf_dir):
+    f = v.files(spark, sf_dir).join(v.dirs(spark, sf_dir).select("dir_id", "card_id", F.col("name").alias("dir_path")), "dir_id")
+    return listing.ls(f.select("card_id", "dir_path", F.col("line").alias("slot"), "mode", "length", F.unix_timestamp("time").alias("modified"), F.col("line").cast("string").alias("name")))
+
+
+@query("dir_protection", f"WITH {v.DIRS} SELECT dir_id, {_PROTECTION} AS protection FROM v_dirs")
+def dir_protection(spark, sf_dir):
+    return v.dirs(spark, sf_dir).select("dir_id", modes.protection(F.col("mode")).alias("protection"))
+
+
+@query("dir_text", f"""{_SIZES} SELECT card_id, slot, rtrim(rpad(name, 32, ' ') || ' ' || name) AS line1, rtrim(lpad((size // 1024)::VARCHAR, 4, ' ') || 'KB ' || rpad({_PROTECTION}, 25, ' ') || ' ' || n_files::VARCHAR) AS line2 FROM sized""")
+def dir_text(spark, sf_dir):
+    s = space.directory_sizes(v.dirs(spark, sf_dir), v.files(spark, sf_dir))
+    return listing.dir_text(s.select("card_id", "slot", "name", "size", modes.protection(F.col("mode")).alias("protection"), F.col("name").alias("title1"), F.col("n_files").cast("string").alias("title2")))
+
+
+@query("glob_part_names", r"SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '.*e.a.*')")
+def glob_part_names(spark, sf_dir):
+    return listing.glob(v.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "/x/*e?a*", "p_name")
+
+
+@query("glob_no_match", "SELECT NULL::BIGINT AS p_partkey, 'no such part?' AS p_name")
+def glob_no_match(spark, sf_dir):
+    return listing.glob(v.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "no such part?", "p_name")
+
+
+_KEEP, _OTHER = modes.KIND, 0xFFFF & ~modes.KIND
+
+
+@query("set_flags", f"WITH {v.DIRS} SELECT dir_id, (((mode | 8200) & {_OTHER}) | (mode & {_KEEP}))::BIGINT AS mode FROM v_dirs")
+def set_flags(spark, sf_dir):
+    return v.dirs(spark, sf_dir).select("dir_id", modes.change(F.col("mode"), set_bits=modes.PROTECTED | modes.HIDDEN).cast("long").alias("mode"))
+
+
+@query("clear_flags", f"WITH {v.DIRS} SELECT dir_id, ((mode & {0xFFFF & ~(modes.WRITE | modes.DIR)} & {_OTHER}) | (mode & {_KEEP}))::BIGINT AS mode FROM v_dirs")
+def clear_flags(spark, sf_dir):
+    return v.dirs(spark, sf_dir).select("dir_id", modes.change(F.col("mode"), clear_bits=modes.WRITE | modes.DIR).cast("long").alias("mode"))
+
+
+@query("hex_mode", f"WITH {v.DIRS} SELECT dir_id, ((8231 & {_OTHER}) | (mode & {_KEEP}))::BIGINT AS mode FROM v_dirs")
+def hex_mode(spark, sf_dir):
+    return v.dirs(spark, sf_dir).select("dir_id", modes.merged(F.col("mode"), F.lit(0x2027)).cast("long").alias("mode"))
+
+
+@query("mode_predicates", f"WITH {v.FILES} SELECT dir_id, line, part, mode & 32768 <> 0 AS e, mode & 32816 = 32784 AS f, mode & 32816 = 32800 AS d, ((mode & 255) << 8 | (mode >> 8 & 255))::BIGINT AS swapped FROM v_files")
+def mode_predicates(spark, sf_dir):
+    m = F.col("mode")
+    return v.files(spark, sf_dir).select("dir_id", "line", "part", modes.exists(m).alias("e"), modes.is_file(m).alias("f"), modes.is_dir(m).alias("d"), modes.swapped(m).cast("long").alias("swapped"))
+
+
+@query("check_lost", f"WITH {v.CHAINS} SELECT card_id, count(*) AS n_lost, string_agg(cluster::VARCHAR, ' ' ORDER BY cluster) AS clusters FROM v_fat WHERE allocated AND (card_id, cluster) NOT IN (SELECT (card_id, cluster) FROM v_chains WHERE mode & 32768 <> 0) GROUP BY 1")
+def check_lost(spark, sf_dir):
+    c = v.chains(spark, sf_dir)
+    return check.lost_summary(check.lost_clusters(v.fat(c), c.where(modes.exists(F.col("mode")))))
+
+
+@query("check_cross_linked", f"""WITH {v.CHAINS}, x AS (SELECT card_id, dir_id AS visit, pos, CASE WHEN line = 2 AND cluster > 0 THEN cluster - 1 ELSE cluster END AS cluster, line, part, supp, length FROM v_chains)
+SELECT card_id, cluster, count(*) - 1 AS later FROM x GROUP BY 1, 2 HAVING count(*) > 1""")
+def check_cross_linked(spark, sf_dir):
+    c = v.chains(spark, sf_dir).withColumn("cluster", F.when((F.col("line") == 2) & (F.col("cluster") > 0), F.col("cluster") - 1).otherwise(F.col("cluster")))
+    return check.cross_linked(c.withColumn("visit", F.col("dir_id"))).groupBy("card_id", "cluster").agg(F.count(F.lit(1)).alias("later"))
+
+
+@query("check_chain_length", f"""WITH {v.CHAINS}, e AS (SELECT DISTINCT dir_id, line, part, supp, length FROM v_files),
+h AS (SELECT dir_id, line, part, supp, length, count(DISTINCT cluster) AS found FROM v_chains WHERE NOT (line = 3 AND pos = 0) GROUP BY ALL)
+SELECT dir_id, line, part, supp, length, (length + 1023) // 1024 AS expected, coalesce(found, 0) AS found FROM e LEFT JOIN h USING (dir_id, line, part, supp, length) WHERE (length + 1023) // 1024 <> coalesce(found, 0)""")
+def check_chain_length(spark, sf_dir):
+    keys = ["dir_id", "line", "part", "supp", "length"]
+    c = v.chains(spark, sf_dir).where("NOT (line = 3 AND pos = 0)").select(*keys, "cluster").distinct()
+    want = v.files(spark, sf_dir).select(*keys).distinct().withColumn("l", F.col("length"))
+    return check.wrong_lengths(want, c, keys)
+
+
+@query("check_dot_entry", f"""WITH {v.DIRS} SELECT card_id, name AS dir_path, 'bad "." entry' AS detail FROM v_dirs WHERE dir_id % 7 = 0 UNION ALL SELECT card_id, name, 'missing ".." entry' FROM v_dirs WHERE dir_id % 5 = 0""")
+def check_dot_entry(spark, sf_dir):
+    d = v.dirs(spark, sf_dir).withColumnRenamed("name", "dir_path")
+    own = [F.lit(0).cast("long").alias("own_parent"), F.col("slot").alias("own_slot")]
+    dot = d.select("card_id", "dir_path", F.lit(0).alias("slot"), F.lit(".").alias("name"), F.lit(0).cast("long").alias("cluster"), F.when(F.col("dir_id") % 7 == 0, F.col("slot") + 1).otherwise(F.col("slot")).alias("parent"), *own)
+    up = d.select("card_id", "dir_path", F.lit(1).alias("slot"), F.when(F.col("dir_id") % 5 == 0, F.lit("x")).otherwise(F.lit("..")).alias("name"), F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("parent"), *own)
+    return check.bad_dots(dot.union(up))
+
+
+def _paths(spark, sf_dir):
+    return v.dirs(spark, sf_dir).select("card_id", F.concat(F.lit("/"), "name").alias("path"), "dir_id", "slot", "mode")
+
+
+@query("import_skip_existing", f"WITH {v.DIRS} SELECT card_id, '/' || name AS path FROM v_dirs WHERE dir_id % 3 <> 0")
+def import_skip_existing(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    fresh, _ = mutate.split_new(p, p.where("dir_id % 3 = 0"))
+    return fresh.select("card_id", "path")
+
+
+@query("import_rejected", f"WITH {v.DIRS} SELECT card_id, '/' || name AS path, 'directory exists' AS reason FROM v_dirs WHERE dir_id % 3 = 0")
+def import_rejected(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    _, there = mutate.split_new(p, p.where("dir_id % 3 = 0"))
+    return mutate.rejected(there, "directory exists")
+
+
+@query("remove_tree", f"WITH {v.DIRS}, {v.FILES} SELECT card_id, '/' || name || '/' || line::VARCHAR AS path, count(*) AS n FROM v_files f JOIN v_dirs USING (dir_id) WHERE dir_id % 4 <> 0 GROUP BY ALL")
+def remove_tree(spark, sf_dir):
+    d = v.dirs(spark, sf_dir)
+    e = v.files(spark, sf_dir).join(d.select("dir_id", "card_id", "name"), "dir_id").select("card_id", F.concat(F.lit("/"), "name", F.lit("/"), F.col("line").cast("string")).alias("path"))
+    gone = d.where("dir_id % 4 = 0").select("card_id", F.concat(F.lit("/"), "name").alias("path"))
+    return mutate.remove_tree(e, gone).groupBy("card_id", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rename", f"""WITH {v.DIRS} SELECT card_id, dir_id, CASE WHEN dir_id % 6 = 0 THEN '/NEW-' || dir_id::VARCHAR ELSE '/' || name END AS path FROM v_dirs""")
+def rename(spark, sf_dir):
+    p = _paths(spark, sf_dir).withColumn("parent", F.lit("")).withColumn("name", F.expr("substring(path, 2)"))
+    moves = p.where("dir_id % 6 = 0").select("card_id", "path", F.concat(F.lit("/NEW-"), F.col("dir_id").cast("string")).alias("target"))
+    return mutate.rename(p, moves)[0].select("card_id", "dir_id", "path")
+
+
+@query("resolve_path", f"""WITH {v.DIRS} SELECT card_id, dir_id, '/' || name AS normal_path, dir_id % 2 = 0 AS found, true AS parent_found FROM v_dirs""")
+def resolve_path(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    asked = p.select("card_id", "dir_id", F.concat(F.lit("/none/./.."), "path", F.lit("/")).alias("path"))
+    return listing.resolve(asked, p.where("dir_id % 2 = 0")).select("card_id", "dir_id", "normal_path", "found", "parent_found")
+
+
+_HOLES = f"""WITH {v.DIRS}, d AS (SELECT card_id, slot, slot % 4 <> 0 AS live FROM v_dirs)"""
+
+
+def _with_holes(spark, sf_dir):
+    return v.dirs(spark, sf_dir).select("card_id", F.lit("/").alias("dir_path"), "slot", F.when(F.col("slot") % 4 == 0, F.col("mode").bitwiseAND(F.lit(0x7FFF))).otherwise(F.col("mode")).alias("mode"))
+
+
+@query("first_free_slot", f"{_HOLES} SELECT card_id, '/' AS dir_path, coalesce(min(slot) FILTER (WHERE NOT live), max(slot) + 1)::BIGINT AS free_slot FROM d GROUP BY 1")
+def first_free_slot(spark, sf_dir):
+    return mutate.first_free_slot(_with_holes(spark, sf_dir))
+
+
+@query("create_slot", f"""{_HOLES}, h AS (SELECT card_id, slot, row_number() OVER (PARTITION BY card_id ORDER BY slot) AS k FROM d WHERE NOT live), t AS (SELECT card_id, max(slot) + 1 AS top, count(*) FILTER (WHERE NOT live) AS holes FROM d GROUP BY 1),
+n AS (SELECT card_id, unnest(range(1, 4)) AS k FROM t) SELECT card_id, k::VARCHAR AS name, coalesce(slot, top + k - 1 - holes)::BIGINT AS slot FROM n LEFT JOIN h USING (card_id, k) JOIN t USING (card_id)""")
+def create_slot(spark, sf_dir):
+    d = _with_holes(spark, sf_dir)
+    new = d.select("card_id", "dir_path").distinct().select("card_id", "dir_path", F.explode(F.array(F.lit("1"), F.lit("2"), F.lit("3"))).alias("name"))
+    return mutate.assign_slots(new, d).select("card_id", "name", F.col("slot").cast("long").alias("slot"))
+
+
+@query("zip_group", "SELECT split_part(url, '/', 3) AS folder, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS members FROM pages GROUP BY 1")
+def zip_group(spark, sf_dir):
+    p = v.table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("folder"), "page_id")
+    return p.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("sort_names", "SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS place FROM part")
+def sort_names(spark, sf_dir):
+    from pyspark.sql import Window
+
+    return v.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")).cast("long").alias("place"))
+
+
+@query("tod_to_unix", "SELECT event_id, (epoch(date_trunc('second', ts)) - 32400)::BIGINT AS unix FROM events")
+def tod_to_unix(spark, sf_dir):
+    t = F.col("ts")
+    return v.table(spark, sf_dir, "events").select("event_id", times.tod_seconds(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t)).alias("unix"))
+
+
+_MASKS = " | ".join(f"((bit_count(b & {m}) % 2)::INT << {k})" for k, m in enumerate(ecc.MASKS))
+
+
+@query("ecc_chunk", f"""WITH e AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
+c AS (SELECT item_id, i // 128 AS chunk, (i % 128)::INT AS i, (('0x' || substr(h, 2 * i::INT + 1, 2))::INT) AS b FROM (SELECT item_id, h, unnest(range(0, length(h) // 2)) AS i FROM e))
+SELECT item_id, chunk, xor(119, bit_xor({_MASKS}))::BIGINT AS cp, (xor(127, bit_xor(CASE WHEN bit_count(b) % 2 = 1 THEN -1 - i ELSE 0 END)) & 127)::BIGINT AS l0, (xor(127, bit_xor(CASE WHEN bit_count(b) % 2 = 1 THEN i ELSE 0 END)) & 255)::BIGINT AS l1 FROM c GROUP BY 1, 2""")
+def ecc_chunk(spark, sf_dir):
+    t = v.table(spark, sf_dir, "benchmark").select("item_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
+    b = t.select("item_id", "h", F.explode(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1)).alias("at"))
+    b = b.select("item_id", F.floor(F.col("at") / 128).cast("long").alias("chunk"), (F.col("at") % 128).alias("i"), F.conv(F.expr("substring(h, 2 * at + 1, 2)"), 16, 10).cast("int").alias("b"))
+    return ecc.codes(b, "item_id", "chunk").select("item_id", "chunk", *[F.col(c).cast("long").alias(c) for c in ("cp", "l0", "l1")])
+
+
+def _replaced(column: str) -> str:
+    out = column
+    for table in (text.NORMAL_FORMS, text.LOOK_ALIKES):
+        for k, x in table.items():
+            if k in "«»¢´×÷‐―‘’“”′−…":
+                out = f"replace({out}, '{k}', '{x.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+@query("sjis_normalise", f"SELECT item_id, {_replaced('text')} AS readable FROM benchmark")
+def sjis_normalise(spark, sf_dir):
+    return v.table(spark, sf_dir, "benchmark").select("item_id", text.readable_column(F.col("text")).alias("readable"))
+
+
+@query("long_name", r"""SELECT p_partkey, CASE WHEN t = '' THEN p_brand ELSE p_brand || ' ' || t END AS name FROM (SELECT p_partkey, p_brand, trim(regexp_replace(regexp_replace(p_name || '/' || p_type || ' : ' || p_brand, '[/\\:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')) AS t FROM part)""")
+def long_name(spark, sf_dir):
+    p = v.table(spark, sf_dir, "part")
+    return p.select("p_partkey", text.long_name(F.col("p_brand"), F.concat("p_name", F.lit("/"), "p_type", F.lit(" : "), "p_brand")).alias("name"))
+
+
+@query("psx_title", "SELECT p_partkey, substr(rpad('SC__' || p_name || p_type || p_brand, 128, '='), 5, 64) AS title FROM part")
+def psx_title(spark, sf_dir):
+    """The title field of a 128-byte head: bytes 4 to 67, up to a NUL."""
+    head = F.encode(F.rpad(F.concat(F.lit("SC__"), "p_name", "p_type", "p_brand"), 128, "="), "UTF-8")
+    return v.table(spark, sf_dir, "part").select("p_partkey", text.latin1(F.substring(head, 5, 64)).alias("title"))
+
+
+@query("texture_rgb", "SELECT event_id, (p & 31) << 3 AS r, (p >> 5 & 31) << 3 AS g, (p >> 10 & 31) << 3 AS b FROM (SELECT event_id, user_id & 65535 AS p FROM events)")
+def texture_rgb(spark, sf_dir):
+    p = F.col("user_id").bitwiseAND(F.lit(0xFFFF))
+    five = lambda s: F.shiftleft(F.shiftright(p, s).bitwiseAND(F.lit(31)), 3)
+    return v.table(spark, sf_dir, "events").select("event_id", five(0).alias("r"), five(5).alias("g"), five(10).alias("b"))
+
+
+@query("fixed_point", "SELECT event_id, CASE WHEN p >= 32768 THEN p - 65536 ELSE p END / 4096.0::DOUBLE AS x FROM (SELECT event_id, user_id & 65535 AS p FROM events)")
+def fixed_point(spark, sf_dir):
+    p = F.col("user_id").bitwiseAND(F.lit(0xFFFF))
+    return v.table(spark, sf_dir, "events").select("event_id", (F.when(p >= 32768, p - 65536).otherwise(p) / F.lit(4096.0)).alias("x"))
+
+
+@query("detect_type", "SELECT doc_id, CASE WHEN strlen(text) < 16 THEN NULL WHEN starts_with(text, 'nPort') THEN 'npo' WHEN starts_with(text, 'Ps2PowerSave') THEN 'max' ELSE 'psu' END AS kind FROM documents")
+def detect_type(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", text.sniff(F.encode("text", "UTF-8")).alias("kind"))
+
+
+@query("extension_type", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'psu' WHEN page_id % 3 = 1 THEN 'max' END AS kind FROM pages")
+def extension_type(spark, sf_dir):
+    ext = F.when(F.col("page_id") % 3 == 0, F.lit(".PSU")).when(F.col("page_id") % 3 == 1, F.lit(".max")).otherwise(F.lit(".txt"))
+    return v.table(spark, sf_dir, "pages").select("page_id", text.file_type(F.concat("url", ext)).alias("kind"))
+
+
+# --- beyond SQL: held against themselves and the unit tests --------------------------------------
+
+
+def _save_entries(spark, sf_dir):
+    """The benchmark's texts as files of saves, eight to a save, two saves to a card."""
+    b = v.table(spark, sf_dir, "benchmark").select("item_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    card, save = F.concat(F.lit("card-"), F.floor(F.col("item_id") / 16).cast("string")), F.concat(F.lit("SAVE-"), F.floor(F.col("item_id") / 8).cast("string"))
+    now = F.lit(1_700_000_000).cast("long")
+    f = b.select(card.alias("card_id"), F.concat(F.lit("/"), save).alias("parent"), F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("name"), "data")
+    f = f.select("card_id", F.concat("parent", F.lit("/"), "name").alias("path"), "parent", "name", F.lit(None).cast("int").alias("slot"), F.lit(modes.NEW_FILE).alias("mode"), F.length("data").cast("long").alias("length"), now.alias("created"), now.alias("modified"), "data")
+    d = f.groupBy("card_id", "parent").agg(F.count(F.lit(1)).alias("length"))
+    d = d.select("card_id", F.col("parent").alias("path"), F.lit("").alias("parent"), F.expr("substring(parent, 2)").alias("name"), F.lit(None).cast("int").alias("slot"), F.lit(modes.NEW_DIR).alias("mode"), "length", now.alias("created"), now.alias("modified"), F.lit(None).cast("binary").alias("data"))
+    return f.unionByName(d)
+
+
+def _contents(entries):
+    return entries.where("data IS NOT NULL").select("card_id", "path", F.sha2("data", 256).alias("sha256"), "length")
+
+
+_CONTENTS = """SELECT 'card-' || (item_id // 16)::VARCHAR AS card_id, '/SAVE-' || (item_id // 8)::VARCHAR || '/item-' || item_id::VARCHAR AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS length FROM benchmark"""
+
+
+@query("image_roundtrip", _CONTENTS)
+def image_roundtrip(spark, sf_dir):
+    """Encode card images from tables, decode them again."""
+    return _contents(card_source.Cards(card_source.encode_images(_save_entries(spark, sf_dir), 8, 1_700_000_000)).entries())
+
+
+def _through(spark, sf_dir, kind):
+    packed = card_source.encode_saves(_save_entries(spark, sf_dir), kind).select("card_id", "content")
+    return _contents(card_source.read_zips(packed) if kind == "zip" else card_source.read_saves(packed, 1_700_000_000))
+
+
+@query("psu_roundtrip", _CONTENTS)
+def psu_roundtrip(spark, sf_dir):
+    return _through(spark, sf_dir, "psu")
+
+
+@query("max_roundtrip", _CONTENTS)
+def max_roundtrip(spark, sf_dir):
+    """Through the compressed container: LZARI both ways."""
+    return _through(spark, sf_dir, "max")
+
+
+@query("zip_roundtrip", _CONTENTS)
+def zip_roundtrip(spark, sf_dir):
+    return _through(spark, sf_dir, "zip")
+
+
+@query("card_check", "SELECT NULL::VARCHAR AS card_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS path, NULL::VARCHAR AS detail WHERE false")
+def card_check(spark, sf_dir):
+    """Findings on freshly encoded images: none."""
+    return card_source.Cards(card_source.encode_images(_save_entries(spark, sf_dir), 8, 1_700_000_000)).check()
+
+
+@query("card_df")
+def card_df(spark, sf_dir):
+    return card_source.Cards(card_source.encode_images(_save_entries(spark, sf_dir), 8, 1_700_000_000)).free_space()
+
+
+@query("crc32_docs")
+def crc32_docs(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+
+
+assert containers.MAX_MAGIC
