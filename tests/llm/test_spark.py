@@ -228,7 +228,7 @@ def test_near_dedup_group_without_a_common_hub(spark):
     """A chain of edits: each is near the next, the ends are not near each other; all are one class."""
     w, rows = prose(400, 50).split(" "), []
     for i in range(8):
-        w = [f"new{i}_{j}" if i and j % 40 == i else x for j, x in enumerate(w)]
+        w = [f"new{i}x{j}" if i and j % 80 == 9 * i else x for j, x in enumerate(w)]
         rows.append((i, " ".join(w)))
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0}
