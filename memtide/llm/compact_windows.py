@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .suffix_dedup import TEXT, Records, RunsOf, _batch, _bucket, _prepared, beside, unite
+from .suffix_dedup import _NULL_ID, TEXT, Records, RunsOf, _batch, _bucket, _prepared, beside, unite
 
 SHINGLE, PASSAGE, THRESHOLD = 5, 50, 0.8
 #: Shingles of the shortest passage; min-hash functions, and how many must agree.
@@ -319,26 +319,26 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
 
 
 def passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document row: (key, n_passages, n_repeated_words, sources, spans).
+    """One row per document row: (key, n_spans, n_removed, sources, spans).
 
     ``spans`` are (start word, words, source id, source start word, similarity) of passages of PASSAGE words or more that
-    are near an earlier document's: Jaccard similarity of their five-word shingles THRESHOLD or more.  ``n_repeated_words``
+    are near an earlier document's: Jaccard similarity of their five-word shingles THRESHOLD or more.  ``n_removed``
     counts words in any.  Passages repeated inside one document only are none.  Null texts are empty; a null id is after
     all others; rows equal in id and text are one document; rows with one id but different texts are different documents.
     """
     rows = _prepared(docs, key, text)
     found = near_passages(rows.drop("id"), 4 * base.partitions_for(docs) + 1)
-    span = F.struct(F.col("s").alias("start"), F.col("n").alias("words"), F.col("d0").alias("source"), F.col("s0").alias("source_start"), F.round("similarity", 6).alias("similarity"))
+    span = F.struct(F.col("s").alias("start"), F.col("n").alias("words"), F.nullif(F.col("d0"), F.lit(_NULL_ID)).alias("source"), F.col("s0").alias("source_start"), F.round("similarity", 6).alias("similarity"))
     per = found.groupBy(F.col("d").alias("fd"), F.col("h").alias("fh")).agg(F.array_sort(F.collect_set(span)).alias("spans"))
     # words in the union of spans: spans come by start; each adds what lies beyond the furthest end so far
     state = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("words"))
     add = lambda acc, x: F.struct(F.greatest(acc["end"], x["start"] + x["words"]).alias("end"), (acc["words"] + F.greatest(F.lit(0).cast("long"), x["start"] + x["words"] - F.greatest(acc["end"], x["start"]))).alias("words"))
-    per = per.withColumn("n_repeated_words", F.aggregate("spans", state, add, lambda acc: acc["words"]))
+    per = per.withColumn("n_removed", F.aggregate("spans", state, add, lambda acc: acc["words"]))
     got = rows.select("d", "h", "id").join(per, (F.col("d") == F.col("fd")) & (F.col("h") == F.col("fh")), "left")
     return got.select(
         F.col("id").alias(key),
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_passages"),
-        F.coalesce("n_repeated_words", F.lit(0)).cast("long").alias("n_repeated_words"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_sort(F.array_distinct(F.col("spans.source"))), F.array().cast("array<long>")).alias("sources"),
         F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)).alias("spans"),
     )

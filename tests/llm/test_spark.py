@@ -245,8 +245,8 @@ def test_compact_windows(spark, messy):
     assert sum(map(len, got.values())) == len(DOCS)
     (span,) = got[5][0].spans
     assert span.source == 4 and abs(span.start - len(plain_words(prose(90, 4)))) <= 4 and abs(span.words - 60) <= 8
-    assert got[5][0].sources == [4] and got[4][0].n_passages == 0 and got[1][0].n_passages == 0 and got[2][0].n_repeated_words > 250
-    assert all(got[k][0].n_passages == 0 for k in (6, 8, 9, 10, 13, 18, 19))
+    assert got[5][0].sources == [4] and got[4][0].n_spans == 0 and got[1][0].n_spans == 0 and got[2][0].n_removed > 250
+    assert all(got[k][0].n_spans == 0 for k in (6, 8, 9, 10, 13, 18, 19))
     docs = base.table(spark, messy, "documents")
     cut = compact_windows.remove_passages(docs)
     assert cut.columns == docs.columns and cut.count() == len(DOCS)
