@@ -7,6 +7,9 @@ is.  Nodes that span at least a passage's length are kept.  Windows with equal
 min-hashes in different documents meet; an interval join over the functions
 finds passages that enough of them agree on; those are verified by the exact
 Jaccard similarity of their shingles.
+
+Windows of a value first meet leads only.  What the verified passages leave open is then compared with every
+earlier window of its value, in blocks, by the windows' shingles; windows of equal content stand for each other.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .suffix_dedup import _NULL_ID, TEXT, Records, RunsOf, _batch, _bucket, _prepared, beside, unite
+from .suffix_dedup import _NULL_ID, _RUN, TEXT, Records, RunsOf, _batch, _bucket, _prepared, beside, unite
 
 SHINGLE, PASSAGE, THRESHOLD = 5, 50, 0.8
 #: Shingles of the shortest passage; min-hash functions, and how many must agree.
@@ -29,11 +32,17 @@ CONTEXT, SIDE = 6, (WIDTH - 1) // 2
 #: How far alignments may drift inside a passage.
 DRIFT = 16
 HELD = 1 << 20
+#: Distinct windows of a value in a block of the exact pass, and the shingles of a passage that a near one shares at least.
+BLOCK = 1024
+NEED = int(np.ceil(2 * THRESHOLD / (1 + THRESHOLD) * WIDTH - 1e-9))
 
 _ODD = np.random.default_rng(97531).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WINDOW, MATCH, ASK, RUN = 1, 2, 3, 0
-_WINDOW = {"v": "<u8", "x": "<u4", "y": "<u4", "z": "<u4", "d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1"}
+WINDOW, MATCH, ASK, MARK, OPEN, RUN = 1, 2, 3, 4, 5, 0
+_WINDOW = {"v": "<u8", "x": "<u4", "y": "<u4", "z": "<u4", "w": "<u4", "k": "u1", "d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1"}
 _MATCH = {"d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1", "d0": "<i8", "h0": "<u2", "p0": "<u4"}
+_MARK = {"d": "<i8", "h": "<u2", "k": "u1", "p": "<u4", "first": "u1", "of": "<u4"}
+#: A window for the exact pass: place of its first start, shingles, the starts still open (first, one past the last), whether it stands for its content.
+_OPEN = {"v": "<u8", "block": "<u4", "d": "<i8", "h": "<u2", "p": "<u4", "s": "<u4", "n": "u1", "lo": "u1", "hi": "u1", "first": "u1"}
 _ASK = {"pid": "<u8", "side": "u1", "d": "<i8", "h": "<u2", "p": "<u4", "n": "<u4"}
 _FOUND = {"d": "<i8", "h": "<u2", "s": "<u4", "n": "<u4", "d0": "<i8", "h0": "<u2", "s0": "<u4", "n0": "<u4"}
 
@@ -91,7 +100,8 @@ def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Records]:
         v = base.mix(value[node] + np.uint64(k))
         d, h = np.zeros(len(node), "<i8"), np.zeros(len(node), "<u2")
         place = {"p": (node - begin[doc]).astype("<u4"), "L": (node - p0).astype("u1"), "R": (node - p1).astype("u1")}
-        out.append(Records(v=v, x=context(CONTEXT, CONTEXT), y=context(SIDE, 0), z=context(0, SIDE), d=d, h=h, **place))
+        content = base.mix(upto[p1 + WIDTH] - upto[p0]).astype("<u4")
+        out.append(Records(v=v, x=context(CONTEXT, CONTEXT), y=context(SIDE, 0), z=context(0, SIDE), w=content, k=np.full(len(node), k, "u1"), d=d, h=h, **place))
         docs.append(doc)
     return np.concatenate(docs), Records.join(out, _WINDOW)
 
@@ -124,8 +134,166 @@ def meet(rows: Records) -> Records:
     return Records(d=r.d[b], h=r.h[b], p=r.p[b], L=r.L[b], R=r.R[b], d0=r.d[a], h0=r.h[a], p0=r.p[a])
 
 
-def interval_join(m: Records) -> Records:
-    """Passages that AGREE of the functions give the same partner at about the same alignment.
+def marks(rows: Records) -> Records:
+    """The windows whose min-hash another document has: whether each is the first with its content, and its value's number of blocks."""
+    if not len(rows):
+        return Records.join([], _MARK)
+    r = rows.take(np.lexsort((rows.p, rows.h, rows.d, rows.R, rows.L, rows.w, rows.v)))
+    edge = lambda *cols: np.concatenate([[True], np.logical_or.reduce([r.cols[c][1:] != r.cols[c][:-1] for c in cols])])
+    value, first = edge("v"), edge("v", "w", "L", "R")
+    group, top = np.cumsum(value) - 1, np.flatnonzero(value)
+    firsts = np.add.reduceat(first.astype(np.int64), top)
+    other = (r.d != r.d[top[group]]) | (r.h != r.h[top[group]])
+    i = np.flatnonzero(np.logical_or.reduceat(other, top)[group])
+    i = i[np.lexsort((r.p[i], r.k[i], r.h[i], r.d[i]))]
+    return Records(d=r.d[i], h=r.h[i], k=r.k[i], p=r.p[i], first=first[i].astype("u1"), of=(firsts[group[i]] // BLOCK + 1).astype("<u4"))
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the items of pieces that start at ``begin``, piece after piece."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, Records, np.ndarray]:
+    """(text of each, windows, their shingles as 16-bit numbers) for the exact pass, of a chunk of texts with their marks and verified runs.
+
+    Open are starts of passages that lie in no verified run and in marked windows of AGREE functions.
+    """
+    start, end, first = base.words(data, off)
+    sh, _, begin = base.shingles(base.word_hashes(data, start, end), first, SHINGLE)
+    free, agree = np.ones(len(sh) + 1, bool), np.zeros(len(sh) + 1, np.int64)
+    for j, (s, m) in enumerate(runs):
+        for a, z in zip((begin[j] + s).tolist(), (begin[j] + s + m - (SHINGLE - 1) - WIDTH + 1).tolist(), strict=True):
+            free[a : max(z, a)] = False
+    doc = np.repeat(np.arange(len(mark)), [len(m) for m in mark])
+    m = Records.join(mark, _MARK)
+    at = begin[doc] + m.p
+    got = []
+    for k in range(HASHES):
+        value = base.mix(sh * _ODD[k])
+        node, p0, p1 = cartesian_windows((value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(sh), dtype=np.uint64), begin, WIDTH)
+        mine = np.flatnonzero(m.k == k)
+        if not len(mine) or not len(node):
+            continue
+        order = np.argsort(node)
+        i = order[np.searchsorted(node, at[mine], sorter=order)]
+        np.add.at(agree, p0[i], 1)
+        np.add.at(agree, p1[i] + 1, -1)
+        got.append((mine, base.mix(value[node[i]] + np.uint64(k)), p0[i], p1[i]))
+    if not got:
+        return doc[:0], Records.join([], _OPEN), np.zeros(0, "<u2")
+    i, v, p0, p1 = (np.concatenate(x) for x in zip(*got, strict=True))
+    enough = np.cumsum(agree) >= AGREE
+    some = np.concatenate([[0], np.cumsum(enough)])
+    todo = np.flatnonzero(np.concatenate([enough[:-1] & free[:-1], [False]]))
+    a, z = np.searchsorted(todo, p0), np.searchsorted(todo, p1, side="right")
+    is_open = z > a
+    safe = np.concatenate([todo, [0]])
+    lo = np.where(is_open, safe[np.minimum(a, len(todo))] - p0, 0)
+    hi = np.where(is_open, safe[np.maximum(z - 1, 0)] - p0 + 1, 0)
+    ask = np.flatnonzero(is_open | ((m.first[i] == 1) & (some[p1 + 1] > some[p0])))
+    i, v, p0, p1, lo, hi = i[ask], v[ask], p0[ask], p1[ask], lo[ask], hi[ask]
+    # a window that stands for its content goes to every block of its value, one with open starts is asked in one of them
+    of = m.of[i].astype(np.int64)
+    own = (base.mix(m.d[i].view("<u8") + m.h[i]) % of.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(i)), of)
+    block = ragged(np.zeros(len(of), np.int64), of)
+    here = block == own[row]
+    keep = here | (m.first[i] == 1)[row]
+    row, block, here = row[keep], block[keep], here[keep]
+    size = (p1 - p0 + WIDTH)[row]
+    j = i[row]
+    out = Records(v=v[row], block=block.astype("<u4"), d=m.d[j], h=m.h[j], p=m.p[j], s=(p0[row] - begin[doc[j]]).astype("<u4"), n=size.astype("u1"), lo=np.where(here, lo[row], 0).astype("u1"), hi=np.where(here, hi[row], 0).astype("u1"), first=m.first[j])
+    return doc[j], out, (sh[ragged(p0[row], size)] >> np.uint64(48)).astype("<u2")
+
+
+def settle(r: Records, content: np.ndarray) -> Records:
+    """Matches of the open starts of windows with earlier windows of their value that a passage there is near.
+
+    Each window is tried with what shares most of it first, until its starts are settled or nothing is left that shares NEED.
+    """
+    if not len(r):
+        return Records.join([], _MATCH)
+    n = r.n.astype(np.int64)
+    order = np.lexsort((r.p, r.h, r.d, r.block, r.v))
+    content = content[ragged((np.cumsum(n) - n)[order], n[order])]
+    r, n = r.take(order), n[order]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    edge = lambda *cols: np.concatenate([[True], np.logical_or.reduce([r.cols[c][1:] != r.cols[c][:-1] for c in cols])])
+    # where the windows that stand for their content hold each shingle of their value's block
+    group = np.cumsum(edge("v", "block")) - 1
+    window = np.repeat(np.arange(len(r)), n)
+    key = (group[window] << 16) | content
+    of_lead = r.first[window] == 1
+    if len(r) >= 1 << 24:
+        raise ValueError("too many windows in a task: use more shuffle partitions")
+    held = np.unique((key[of_lead].astype(np.uint64) << np.uint64(24)) | window[of_lead].astype(np.uint64))
+    names, where = (held >> np.uint64(24)).astype(np.int64), (held & np.uint64(0xFFFFFF)).astype(np.int64)
+    post, stop = np.searchsorted(names, key), np.searchsorted(names, key, side="right")
+    size = stop - post
+    docs = np.flatnonzero(edge("v", "block", "d", "h"))
+    own = np.repeat(docs, np.diff(np.concatenate([docs, [len(r)]])))
+    # starts of passages of which earlier documents' windows hold NEED shingles
+    earlier = (size > 0) & (np.concatenate([where, [0]])[post] < own[window])
+    at = np.concatenate([[0], np.cumsum(earlier)])
+    lo, hi = begin[:-1] + r.lo, begin[:-1] + r.hi
+    could = at[WIDTH:] - at[:-WIDTH] >= NEED
+    good = np.concatenate([[0], np.cumsum(could)])
+    last = len(good) - 1
+    asked = np.flatnonzero((r.hi > 0) & (good[np.minimum(hi, last)] > good[np.minimum(lo, last)]))
+    # windows that an earlier document's equals whole need no trial
+    item = base.mix(content.astype(np.uint64) + (np.arange(len(content)) - begin[window]).astype(np.uint64) * np.uint64(1 << 16))
+    whole = base.mix(np.add.reduceat(item, begin[:-1]) ^ base.mix(r.v + r.block * np.uint64(0x9E3779B97F4A7C15)))
+    _, one, back = np.unique(whole, return_index=True, return_inverse=True)
+    copy = one[back][asked]
+    same = copy < own[asked]
+    out = [(i, j, int(r.s[i]) + int(r.lo[i]), int(r.s[i]) + int(r.hi[i]) - 1) for i, j in zip(asked[same].tolist(), copy[same].tolist(), strict=True)]
+    asked = asked[~same]
+    there = np.zeros(1 << 16, bool)
+    for i in asked.tolist():
+        left = lo[i] - begin[i] + np.flatnonzero(could[lo[i] : hi[i]])
+        mine = content[begin[i] : begin[i + 1]]
+        # of any so many shingles a near window has one: look for those that fewest have
+        span = np.arange(begin[i] + left[0], begin[i] + left[-1] + WIDTH)
+        rare = span[np.argsort(np.where(earlier[span], size[span], 0), kind="stable")[: len(span) - NEED + 1]]
+        lead = np.unique(where[ragged(post[rare], size[rare])])
+        lead = lead[: np.searchsorted(lead, own[i])]
+        m = len(lead)
+        theirs = content[ragged(begin[lead], n[lead])]
+        at = np.concatenate([[0], np.cumsum(n[lead])])
+        tried = np.zeros(m, bool)
+        while m and len(left):
+            x = mine[left[0] : left[-1] + WIDTH]
+            there[x] = True
+            shared = np.add.reduceat(there[theirs].astype(np.int64), at[:-1])
+            there[x] = False
+            shared[tried] = 0
+            best, before = np.argsort(-shared, kind="stable"), len(left)
+            for j in best[: np.count_nonzero(shared >= NEED)].tolist():
+                tried[j] = True
+                y = theirs[at[j] : at[j + 1]]
+                there[y] = True
+                c = np.concatenate([[0], np.cumsum(there[x])])
+                there[y] = False
+                if (c[WIDTH:] - c[:-WIDTH]).max() < NEED:
+                    continue
+                near = verify(y, x)
+                slack = WIDTH - NEED
+                done = np.logical_or.reduce([(left - left[0] >= s - slack) & (left - left[0] + WIDTH <= e + slack) for s, e, *_ in near]) if near else np.zeros(len(left), bool)
+                if done.any():
+                    one, two = left[done][[0, -1]]
+                    out.append((i, int(lead[j]), int(r.s[i]) + int(one), int(r.s[i]) + int(two)))
+                    left = left[~done]
+                    break
+            if len(left) == before:
+                break
+    i, j, lo, hi = np.array(out, np.int64).reshape(-1, 4).T
+    p = r.p[i].astype(np.int64)
+    return Records(d=r.d[i], h=r.h[i], p=r.p[i], L=(p - lo).astype("u1"), R=(p - hi).astype("u1"), d0=r.d[j], h0=r.h[j], p0=r.p[j])
+
+
+def interval_join(m: Records, agree: int = AGREE) -> Records:
+    """Passages that ``agree`` of the functions give the same partner at about the same alignment.
 
     A match covers the passage starts of its window; a sweep over starts and ends counts the matches that cover a start.
     """
@@ -148,7 +316,7 @@ def interval_join(m: Records) -> Records:
     last = np.ones(2 * n, bool)
     last[:-1] = at[1:] != at[:-1]
     at, step = at[last], step[last]
-    on = step >= AGREE
+    on = step >= agree
     edge = np.diff(np.concatenate([[0], on.view(np.int8), [0]]))
     s, e = at[np.flatnonzero(edge == 1)], at[np.flatnonzero(edge == -1)]
     g = s >> 33
@@ -235,16 +403,26 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
 
     def by_hash(batches):
         got = [Records.unpack(x, _WINDOW) for b in batches for x in b.column(2).to_pylist()]
-        m = meet(Records.join(got, _WINDOW))
-        yield _batch(m.dealt(_bucket(m.d, n), MATCH))
+        rows = Records.join(got, _WINDOW)
+        m, k = meet(rows), marks(rows)
+        yield _batch([*m.dealt(_bucket(m.d, n), MATCH), *k.dealt(_bucket(k.d, n), MARK)])
 
     def by_document(batches):
-        got = [Records.unpack(x, _MATCH) for b in batches for x in b.column(2).to_pylist()]
-        f = interval_join(Records.join(got, _MATCH))
+        got = []
+        for b in batches:
+            kinds = b.column(1).to_pylist()
+            got += [Records.unpack(x, _MATCH) for x, k in zip(b.column(2).to_pylist(), kinds, strict=True) if k == MATCH]
+            yield b.filter(pa.array([k == MARK for k in kinds]))
+        yield _asks(interval_join(Records.join(got, _MATCH)))
+
+    def by_document_again(batches):
+        yield _asks(interval_join(Records.join([Records.unpack(x, _MATCH) for b in batches for x in b.column(2).to_pylist()], _MATCH), 1))
+
+    def _asks(f):
         pid = base.mix(base.mix(base.mix(f.d.view("<u8") + f.h) + f.s) ^ base.mix(f.d0.view("<u8") + np.uint64(77) + f.h0) + f.s0)
         two = [Records(pid=pid, side=np.full(len(f), side, "u1"), d=d, h=h, p=p, n=m) for side, d, h, p, m in ((0, f.d0, f.h0, f.s0, f.n0), (1, f.d, f.h, f.s, f.n))]
         asks = Records.join(two, _ASK)
-        yield _batch(asks.dealt(_bucket(asks.d, n), ASK))
+        return _batch(asks.dealt(_bucket(asks.d, n), ASK))
 
     def fetch(batches):
         asked, parts_ = None, []
@@ -310,12 +488,73 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
         cols = list(zip(*out, strict=True)) if out else [[]] * 9
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 8 else pa.int64()) for k, c in enumerate(cols)], names=["d", "h", "s", "n", "d0", "h0", "s0", "n0", "similarity"])
 
+    def runs(batches):
+        for b in batches:
+            r = Records(d=np.asarray(b.column(0)).astype("<i8"), h=np.asarray(b.column(1)).astype("<u2"), s=np.asarray(b.column(2)).astype("<u4"), n=np.asarray(b.column(3)).astype("<u4"))
+            yield _batch(r.dealt(_bucket(r.d, n), RUN))
+
+    def left_open(batches):
+        known, asked, run_parts, mark_parts = None, None, [], []
+        for b in batches:
+            kinds = np.asarray(b.column(1))
+            is_text = kinds == TEXT
+            run_parts += [Records.unpack(x, _RUN) for x in b.column(2).filter(pa.array(kinds == RUN)).to_pylist()]
+            mark_parts += [Records.unpack(x, _MARK) for x in b.column(2).filter(pa.array(kinds == MARK)).to_pylist()]
+            if not is_text.any():
+                continue
+            if known is None:
+                known, asked = RunsOf(run_parts), Records.join(mark_parts, _MARK)
+                asked, run_parts, mark_parts = asked.take(np.argsort(asked.d, kind="stable")), [], []
+            for c in base.chunks([pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(is_text)) for k in (3, 4, 5)], names=["d", "h", "x"])], "x"):
+                d, h = c.column(0).to_numpy(), c.column(1).to_numpy()
+                lo, hi = np.searchsorted(asked.d, d), np.searchsorted(asked.d, d, side="right")
+                some = np.flatnonzero(hi > lo)
+                if not len(some):
+                    continue
+                mine = [asked.take(lo[i] + np.flatnonzero(asked.h[lo[i] : hi[i]] == h[i])) for i in some.tolist()]
+                _, r, content = open_windows(*base.text_buffers(c.take(pa.array(some)).column(2)), mine, [known(int(d[i]), int(h[i])) for i in some.tolist()])
+                at = np.concatenate([[0], np.cumsum(r.n.astype(np.int64))])
+                bucket = (base.mix(r.v + r.block) % np.uint64(n)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                out = []
+                for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                    size = r.n[i].astype(np.int64)
+                    out.append((int(bucket[i[0]]), OPEN, r.take(i).pack() + content[ragged(at[i], size)].tobytes()))
+                yield _batch(out)
+
+    def by_value_again(batches):
+        rs, contents = [], []
+        for b in batches:
+            for blob in b.column(2).to_pylist():
+                r = Records.unpack(blob, _OPEN)
+                rs.append(r)
+                contents.append(np.frombuffer(blob, "<u2", int(r.n.sum(dtype=np.int64)), len(r.pack())))
+        r, content = Records.join(rs, _OPEN), np.concatenate(contents) if contents else np.zeros(0, "<u2")
+        rs, contents = [], []
+        # whole values at a time, so that what settle lays out is of bounded size
+        slices = len(content) // HELD + 1
+        part = ((base.mix(r.v + r.block) >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+        size = r.n.astype(np.int64)
+        at = np.cumsum(size) - size
+        for k in range(slices):
+            i = np.flatnonzero(part == k)
+            m = settle(r.take(i), content[ragged(at[i], size[i])])
+            yield _batch(m.dealt(_bucket(m.d, n), MATCH))
+
+    def verified(asks, tag):
+        told = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
+        found = told.repartition(parts, "bucket").mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double")
+        return base.stash(found, tag)
+
     docs = docs.select("d", "h", "x")
     met = docs.mapInArrow(scan, _BLOBS).repartition(parts, "bucket").mapInArrow(by_hash, _BLOBS)
     asks = base.stash(met.repartition(parts, "bucket").mapInArrow(by_document, _BLOBS), "passages-asked")
-    told = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
-    found = told.repartition(parts, "bucket").mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double")
-    return base.stash(found, "passages")
+    found = verified(asks.where(F.col("kind") == ASK), "passages")
+    # what the leads leave open: exactly, with all earlier windows of the same value
+    told = asks.where(F.col("kind") == MARK).unionByName(found.select("d", "h", "s", "n").mapInArrow(runs, _BLOBS))
+    left = beside(docs, told, n).mapInArrow(left_open, _BLOBS).repartition(parts, "bucket").mapInArrow(by_value_again, _BLOBS)
+    more = verified(base.stash(left.repartition(parts, "bucket").mapInArrow(by_document_again, _BLOBS), "passages-asked"), "passages")
+    return found.unionByName(more)
 
 
 def passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

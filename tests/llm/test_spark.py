@@ -265,3 +265,48 @@ def test_pipeline(spark, messy, empty):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, messy)
         assert got.columns == docs.columns
+
+
+def plain_passages(rows):
+    """Starts of passages of each document of which an earlier document holds enough shingles about there: every pair, every start."""
+    width, need, drift = compact_windows.WIDTH, compact_windows.NEED, compact_windows.DRIFT
+    bags = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (plain_words(t) for _, t in sorted(rows))]
+    out = {}
+    for j, (k, _) in enumerate(sorted(rows)):
+        starts = out.setdefault(k, set())
+        for a in bags[:j]:
+            at = {}
+            for p, x in enumerate(a):
+                at.setdefault(x, []).append(p)
+            shifts = {p - q for q, x in enumerate(bags[j]) for p in at.get(x, ())}
+            for t in shifts:
+                hit = [any(abs(p - q - t) <= drift for p in at.get(x, ())) for q, x in enumerate(bags[j])]
+                starts |= {s for s in range(len(hit) - width + 1) if sum(hit[s : s + width]) >= need}
+    return out
+
+
+def edited_groups(groups=40):
+    """Groups of documents with one passage each: an edited variant, then parts of it, then the original, then copies near the original only."""
+    rows = []
+    for g in range(groups):
+        r = random.Random(5000 + g)
+        w = [r.choice(VOCABULARY) for _ in range(70)]
+        other = lambda n: [r.choice(VOCABULARY) for _ in range(n)]  # noqa: B023, E731
+        far = list(w)
+        for i in (9, 21, 33, 45, 57):
+            far[i] = "edited"
+        near = list(w)
+        near[r.randrange(15, 55)] = "changed"
+        rows += [other(30) + far + other(30), other(30) + w[:28] + other(30), other(30) + w[40:] + other(30), other(30) + w + other(30), other(20) + near + other(40), other(40) + w + other(20)]
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def test_compact_windows_against_brute_force(spark):
+    rows = edited_groups()
+    want = plain_passages(rows)
+    got = {r.doc_id: r.spans for r in compact_windows.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # five edits in seventy words, or a part of it, are near nothing
+    assert all(bool(want[k]) == (k % 6 > 3) for k in want)
+    inside = lambda s, spans: any(x.start - 5 <= s and s + compact_windows.PASSAGE <= x.start + x.words + 5 for x in spans)
+    missed = {k: n for k in want if (n := sum(not inside(s, got[k]) for s in want[k]))}
+    assert not missed and all(bool(got[k]) == bool(want[k]) for k in want)
