@@ -32,9 +32,13 @@ def passages(spark, docs, sf_dir):
 
 
 def decontaminated(spark, docs, sf_dir):
-    """Documents that hold windows of MIN_ITEMS benchmark items or more go."""
+    """Documents of which windows of benchmark items cover WINDOW words or more go, so one item's passage is enough.
+
+    The rows that go are ids and hashes in a table of known size: Catalyst broadcasts it if it is small, texts move only beyond that.
+    """
     judged = decontaminate.decontaminate(docs, base.table(spark, sf_dir, "benchmark"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__b")).distinct()
+    hit = judged.where(F.col("n_hit") >= decontaminate.WINDOW)
+    bad = base.stash(hit.select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__b")).distinct(), "hit")
     rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     return rows.join(bad, rows["doc_id"].eqNullSafe(bad["__i"]) & (rows["__h"] == bad["__b"]), "left_anti").drop("__h")
 
