@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker; one longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Estimated bytes of input whose records are dealt to one bucket.
+BUCKET_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a fresh one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``.
+
+    Where that is unset a local session, whose executor is the driver, gets a fresh folder; a cluster is refused.
+    """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("memtide.shared.dir", None)
         if not d:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             d = "file://" + tempfile.mkdtemp(prefix="memtide-")
             spark.conf.set("memtide.shared.dir", d)
     return d
@@ -56,16 +65,36 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: str):
-    """A key for a row of a table whose id may be null or repeated: id, text hash and text length."""
-    return F.struct(*[F.col(c) for c in cols])
-
-
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:
     """Shuffle partitions for explicit repartitioning: the session's setting."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets_for(df: DataFrame) -> int:
+    """Buckets that rows are dealt to by key: of about BUCKET_BYTES of ``df`` each, several a partition at least.
+
+    A task handles its partition bucket by bucket, so what it holds is bounded by a bucket, whatever the session's partitions.
+    The size is Catalyst's estimate; a wild one (of joins) only makes more buckets, up to a bound.
+    """
+    parts = partitions_for(df)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(4 * parts, size // BUCKET_BYTES), 256 * parts) + 1
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The rows of each bucket of a partition that is sorted by its bucket column, as an iterator of record batches."""
+
+    def slices():
+        for b in batches:
+            k = np.asarray(b.column(column))
+            cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else []
+            for lo, hi in itertools.pairwise(cut):
+                yield int(k[lo]), b.slice(lo, hi - lo)
+
+    for _, part in itertools.groupby(slices(), key=lambda x: x[0]):
+        yield (b for _, b in part)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of record batches whose ``text`` column holds at most ``limit`` bytes (or one row)."""
     for b in batches:
@@ -100,10 +129,12 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # --- word hashing -----------------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_INV = pow(_BASE, -1, 1 << 64)
+#: Two hashes in one: a polynomial modulo 2^64, and one modulo a prime, which has no strings that collide for every base.
+_BASE, _PRIME, _PRIME_BASE = 0xD1342543DE82EF95, (1 << 31) - 1, 1_318_699_401
+_INV, _PRIME_INV = pow(_BASE, -1, 1 << 64), pow(_PRIME_BASE, -1, _PRIME)
 _RAND = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME_RAND = np.random.default_rng(20240301).integers(1, _PRIME, 256, dtype=np.uint64)
+_POW: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
 
 #: Byte classes: the byte a text byte counts as, 0 for one that separates words.
 ALNUM = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
@@ -131,6 +162,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POW[2]) < n:
+        n = max(n, CHUNK_BYTES // 2)
+        for k, b in ((2, _PRIME_BASE), (3, _PRIME_INV)):
+            p = np.ones(n, np.uint64)
+            have = 1
+            while have < n:
+                more = min(have, n - have)
+                p[have : have + more] = p[:more] * np.uint64(pow(b, have, _PRIME)) % np.uint64(_PRIME)
+                have += more
+            _POW[k] = p
+    return _POW[2], _POW[3]
+
+
 def words(data: np.ndarray, off: np.ndarray, classes: np.ndarray = ALNUM, space: np.ndarray | None = None):
     """Words of many texts at once: (start byte, end byte, first word index of each text plus the total).
 
@@ -144,7 +189,7 @@ def words(data: np.ndarray, off: np.ndarray, classes: np.ndarray = ALNUM, space:
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    cut = np.unique(off[(off > 0) & (off < n)])
+    cut = distinct(off[(off > 0) & (off < n)])
     first[cut] = inside[cut]
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
@@ -152,18 +197,25 @@ def words(data: np.ndarray, off: np.ndarray, classes: np.ndarray = ALNUM, space:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: np.ndarray = ALNUM) -> np.ndarray:
-    """A 64-bit hash of each word's mapped bytes: one cumulative sum over the chunk, no Python object per word."""
+    """A 64-bit hash of each word's mapped bytes: two cumulative sums over the chunk, no Python object per word."""
     n = len(data)
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _powers(n + 1)
     acc = np.empty(n + 1, np.uint64)
     acc[0] = 0
-    v = _RAND[classes[data]]
+    low = classes[data]
+    v = _RAND[low]
     v *= up[:n]
     np.cumsum(v, out=acc[1:])
     h = (acc[end] - acc[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * _MULT)
+    up, down = _prime_powers(n + 1)
+    v = _PRIME_RAND[low]
+    v *= up[:n]
+    v = (v & np.uint64(_PRIME)) + (v >> np.uint64(31))  # below 2^32, and alike modulo the prime
+    np.cumsum(v, out=acc[1:])
+    p = (acc[end] - acc[start]) % np.uint64(_PRIME) * down[start] % np.uint64(_PRIME)
+    return mix(h ^ mix(p * _MULT + (end - start).astype(np.uint64)))
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int):
@@ -186,6 +238,12 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int):
     return mix(out), at, begin
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (by sorting: numpy's own hashes, which keys of several packed numbers defeat)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def doc_of(begin: np.ndarray) -> np.ndarray:
     """The text index of every item, from the first item of each text."""
     return np.repeat(np.arange(len(begin) - 1), np.diff(begin))

@@ -8,8 +8,9 @@ min-hashes in different documents meet; an interval join over the functions
 finds passages that enough of them agree on; those are verified by the exact
 Jaccard similarity of their shingles.
 
+Windows of one content stand for each other: of those a task meets only the first goes on, and the others match it.
 Windows of a value first meet leads only.  What the verified passages leave open is then compared with every
-earlier window of its value, in blocks, by the windows' shingles; windows of equal content stand for each other.
+earlier window of its value, in blocks, by the windows' shingles.
 """
 
 from __future__ import annotations
@@ -20,31 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .suffix_dedup import _NULL_ID, _RUN, TEXT, Records, RunsOf, _batch, _bucket, _prepared, beside, unite
+from .suffix_dedup import _NULL_ID, _RUN, RUN, Records, RunsOf, _batch, _bucket, _prepared, beside, by_kind, dealt, of_document, unite
 
 SHINGLE, PASSAGE, THRESHOLD = 5, 50, 0.8
 #: Shingles of the shortest passage; min-hash functions, and how many must agree.
 WIDTH = PASSAGE - SHINGLE + 1
-HASHES, AGREE = 4, 2
+HASHES, AGREE = 6, 2
 #: Shingles that the three context hashes of a minimum cover: on both sides of it, on the left, on the right.  A passage
 #: holds SIDE shingles on one side of its minimum at least.
 CONTEXT, SIDE = 6, (WIDTH - 1) // 2
 #: How far alignments may drift inside a passage.
 DRIFT = 16
-HELD = 1 << 20
+HELD = 1 << 19
 #: Distinct windows of a value in a block of the exact pass, and the shingles of a passage that a near one shares at least.
 BLOCK = 1024
 NEED = int(np.ceil(2 * THRESHOLD / (1 + THRESHOLD) * WIDTH - 1e-9))
 
 _ODD = np.random.default_rng(97531).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WINDOW, MATCH, ASK, MARK, OPEN, RUN = 1, 2, 3, 4, 5, 0
-_WINDOW = {"v": "<u8", "x": "<u4", "y": "<u4", "z": "<u4", "w": "<u4", "k": "u1", "d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1"}
-_MATCH = {"d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1", "d0": "<i8", "h0": "<u2", "p0": "<u4"}
-_MARK = {"d": "<i8", "h": "<u2", "k": "u1", "p": "<u4", "first": "u1", "of": "<u4"}
+WINDOW, MATCH, ASK, MARK, OPEN = 1, 2, 3, 4, 5
+_WINDOW = {"v": "<u8", "x": "<u4", "y": "<u4", "z": "<u4", "w": "<u8", "k": "u1", "d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1"}
+#: g: how many functions a match counts for; that of two windows with equal content counts for all that are needed.
+_MATCH = {"d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1", "d0": "<i8", "h0": "<i8", "p0": "<u4", "g": "u1"}
+_MARK = {"d": "<i8", "h": "<i8", "k": "u1", "p": "<u4", "first": "u1", "size": "<u4"}
 #: A window for the exact pass: place of its first start, shingles, the starts still open (first, one past the last), whether it stands for its content.
-_OPEN = {"v": "<u8", "block": "<u4", "d": "<i8", "h": "<u2", "p": "<u4", "s": "<u4", "n": "u1", "lo": "u1", "hi": "u1", "first": "u1"}
-_ASK = {"pid": "<u8", "side": "u1", "d": "<i8", "h": "<u2", "p": "<u4", "n": "<u4"}
-_FOUND = {"d": "<i8", "h": "<u2", "s": "<u4", "n": "<u4", "d0": "<i8", "h0": "<u2", "s0": "<u4", "n0": "<u4"}
+_OPEN = {"v": "<u8", "block": "<u4", "d": "<i8", "h": "<i8", "p": "<u4", "s": "<u4", "n": "u1", "lo": "u1", "hi": "u1", "first": "u1"}
+_ASK = {"pid": "<u8", "side": "u1", "d": "<i8", "h": "<i8", "p": "<u4", "n": "<u4"}
+_FOUND = {"d": "<i8", "h": "<i8", "s": "<u4", "n": "<u4", "d0": "<i8", "h0": "<i8", "s0": "<u4", "n0": "<u4"}
 
 
 def cartesian_windows(key: np.ndarray, begin: np.ndarray, width: int):
@@ -98,44 +100,76 @@ def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Records]:
         doc = np.searchsorted(begin, node, side="right") - 1
         context = lambda left, right: base.mix(upto[np.minimum(node + right + 1, begin[doc + 1])] - upto[np.maximum(node - left, begin[doc])]).astype("<u4")  # noqa: B023, E731
         v = base.mix(value[node] + np.uint64(k))
-        d, h = np.zeros(len(node), "<i8"), np.zeros(len(node), "<u2")
+        d, h = np.zeros(len(node), "<i8"), np.zeros(len(node), "<i8")
         place = {"p": (node - begin[doc]).astype("<u4"), "L": (node - p0).astype("u1"), "R": (node - p1).astype("u1")}
-        content = base.mix(upto[p1 + WIDTH] - upto[p0]).astype("<u4")
+        content = base.mix(upto[p1 + WIDTH] - upto[p0])
         out.append(Records(v=v, x=context(CONTEXT, CONTEXT), y=context(SIDE, 0), z=context(0, SIDE), w=content, k=np.full(len(node), k, "u1"), d=d, h=h, **place))
         docs.append(doc)
     return np.concatenate(docs), Records.join(out, _WINDOW)
 
 
+def _matches(r: Records, a: np.ndarray, b: np.ndarray) -> Records:
+    """Matches of windows b with windows a."""
+    same = np.logical_and.reduce([r.cols[c][a] == r.cols[c][b] for c in ("w", "L", "R")])
+    return Records(d=r.d[b], h=r.h[b], p=r.p[b], L=r.L[b], R=r.R[b], d0=r.d[a], h0=r.h[a], p0=r.p[a], g=np.where(same, AGREE, 1).astype("u1"))
+
+
+def shared(rows: Records) -> tuple[np.ndarray, np.ndarray]:
+    """(windows whose value another one has, in the order of the corpus; the others)."""
+    order = np.argsort(rows.v, kind="stable")
+    v = rows.v[order]
+    same = np.zeros(len(v), bool)
+    if len(v):
+        same[1:] = v[1:] == v[:-1]
+        same[:-1] |= same[1:]
+    some = order[same]
+    return some[np.lexsort((rows.p[some], rows.h[some], rows.d[some]))], order[~same]
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order by key, for each place in it that of its group's first)."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+
+
+def echoes(rows: Records) -> tuple[Records, Records]:
+    """(windows that go on, matches of the others): a window goes on unless one of equal value and content lies in an earlier document."""
+    some, alone = shared(rows)
+    r = rows.take(some)
+    order, lead = _groups(base.mix(base.mix(r.w) ^ (r.v + r.L.astype(np.uint64) * np.uint64(256) + r.R)))
+    first = order[lead]
+    echo = (r.d[order] != r.d[first]) | (r.h[order] != r.h[first])
+    on = np.concatenate([alone, some[np.sort(order[~echo])]])
+    return rows.take(on), _matches(r, first[echo], order[echo])
+
+
 def meet(rows: Records) -> Records:
     """Matches of windows with equal min-hash: each with the first that has its context on both sides, on the left and on
     the right, and firsts of contexts with the first of all and the one before.  A group of n windows gives at most 5 n
     matches; windows of one document none."""
     pairs, firsts = [], None
+    rows = rows.take(np.lexsort((rows.p, rows.h, rows.d)))
     for c in ("x", "y", "z"):
-        order = np.lexsort((rows.p, rows.h, rows.d, rows.cols[c], rows.v))
-        v, x = rows.v[order], rows.cols[c][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        order, lead = _groups(base.mix(rows.v ^ (rows.cols[c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        new = lead == np.arange(len(lead))
         pairs.append((order[lead[~new]], order[~new]))
         if c == "x":
-            firsts = order[new]
-    f = firsts[np.lexsort((rows.p[firsts], rows.h[firsts], rows.d[firsts], rows.v[firsts]))]
-    if len(f) > 1:
-        head = np.ones(len(f), bool)
-        head[1:] = rows.v[f[1:]] != rows.v[f[:-1]]
-        top = np.maximum.accumulate(np.where(head, np.arange(len(f)), 0))
-        later = np.flatnonzero(~head)
-        pairs += [(f[top[later]], f[later]), (f[later - 1], f[later])]
+            firsts = np.sort(order[new])
+    order, lead = _groups(rows.v[firsts])
+    f = firsts[order]
+    later = np.flatnonzero(lead != np.arange(len(lead)))
+    pairs += [(f[lead[later]], f[later]), (f[later - 1], f[later])]
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     other = (rows.d[a] != rows.d[b]) | (rows.h[a] != rows.h[b])
-    a, b = np.divmod(np.unique(a[other] * len(rows) + b[other]), max(len(rows), 1))
-    r = rows
-    return Records(d=r.d[b], h=r.h[b], p=r.p[b], L=r.L[b], R=r.R[b], d0=r.d[a], h0=r.h[a], p0=r.p[a])
+    a, b = np.divmod(base.distinct(a[other] * len(rows) + b[other]), max(len(rows), 1))
+    return _matches(rows, a, b)
 
 
 def marks(rows: Records) -> Records:
-    """The windows whose min-hash another document has: whether each is the first with its content, and its value's number of blocks."""
+    """The windows whose min-hash another document has: whether each is the first with its content, and how many such its value has."""
     if not len(rows):
         return Records.join([], _MARK)
     r = rows.take(np.lexsort((rows.p, rows.h, rows.d, rows.R, rows.L, rows.w, rows.v)))
@@ -146,7 +180,7 @@ def marks(rows: Records) -> Records:
     other = (r.d != r.d[top[group]]) | (r.h != r.h[top[group]])
     i = np.flatnonzero(np.logical_or.reduceat(other, top)[group])
     i = i[np.lexsort((r.p[i], r.k[i], r.h[i], r.d[i]))]
-    return Records(d=r.d[i], h=r.h[i], k=r.k[i], p=r.p[i], first=first[i].astype("u1"), of=(firsts[group[i]] // BLOCK + 1).astype("<u4"))
+    return Records(d=r.d[i], h=r.h[i], k=r.k[i], p=r.p[i], first=first[i].astype("u1"), size=firsts[group[i]].astype("<u4"))
 
 
 def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -157,45 +191,53 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, Records, np.ndarray]:
     """(text of each, windows, their shingles as 16-bit numbers) for the exact pass, of a chunk of texts with their marks and verified runs.
 
-    Open are starts of passages that lie in no verified run and in marked windows of AGREE functions.
+    Open are starts of passages of which verified runs hold fewer than NEED shingles and which lie in marked windows of
+    AGREE functions.  A near passage agrees in AGREE of those, so a start needs no look in AGREE - 1 of them: where
+    most windows have its value.
     """
     start, end, first = base.words(data, off)
     sh, _, begin = base.shingles(base.word_hashes(data, start, end), first, SHINGLE)
-    free, agree = np.ones(len(sh) + 1, bool), np.zeros(len(sh) + 1, np.int64)
+    n = len(sh)
+    held = np.zeros(n + 1, np.int64)
     for j, (s, m) in enumerate(runs):
-        for a, z in zip((begin[j] + s).tolist(), (begin[j] + s + m - (SHINGLE - 1) - WIDTH + 1).tolist(), strict=True):
-            free[a : max(z, a)] = False
+        np.add.at(held, begin[j] + s, 1)
+        np.add.at(held, begin[j] + s + m - (SHINGLE - 1), -1)
+    held = np.concatenate([[0], np.cumsum(np.cumsum(held[:n]) > 0)])
     doc = np.repeat(np.arange(len(mark)), [len(m) for m in mark])
     m = Records.join(mark, _MARK)
     at = begin[doc] + m.p
+    of_start = np.zeros((HASHES, n), np.int64)
     got = []
     for k in range(HASHES):
         value = base.mix(sh * _ODD[k])
-        node, p0, p1 = cartesian_windows((value & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(sh), dtype=np.uint64), begin, WIDTH)
+        node, p0, p1 = cartesian_windows((value & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), begin, WIDTH)
         mine = np.flatnonzero(m.k == k)
         if not len(mine) or not len(node):
             continue
         order = np.argsort(node)
         i = order[np.searchsorted(node, at[mine], sorter=order)]
-        np.add.at(agree, p0[i], 1)
-        np.add.at(agree, p1[i] + 1, -1)
-        got.append((mine, base.mix(value[node[i]] + np.uint64(k)), p0[i], p1[i]))
+        of_start[k, ragged(p0[i], p1[i] - p0[i] + 1)] = np.repeat(m.size[mine], p1[i] - p0[i] + 1)
+        got.append((k, mine, base.mix(value[node[i]] + np.uint64(k)), p0[i], p1[i]))
     if not got:
         return doc[:0], Records.join([], _OPEN), np.zeros(0, "<u2")
-    i, v, p0, p1 = (np.concatenate(x) for x in zip(*got, strict=True))
-    enough = np.cumsum(agree) >= AGREE
+    enough = (of_start > 0).sum(0) >= AGREE
     some = np.concatenate([[0], np.cumsum(enough)])
-    todo = np.flatnonzero(np.concatenate([enough[:-1] & free[:-1], [False]]))
-    a, z = np.searchsorted(todo, p0), np.searchsorted(todo, p1, side="right")
-    is_open = z > a
-    safe = np.concatenate([todo, [0]])
-    lo = np.where(is_open, safe[np.minimum(a, len(todo))] - p0, 0)
-    hi = np.where(is_open, safe[np.maximum(z - 1, 0)] - p0 + 1, 0)
-    ask = np.flatnonzero(is_open | ((m.first[i] == 1) & (some[p1 + 1] > some[p0])))
-    i, v, p0, p1, lo, hi = i[ask], v[ask], p0[ask], p1[ask], lo[ask], hi[ask]
+    look = np.zeros(n, bool)
+    look[: max(n - WIDTH + 1, 0)] = enough[: max(n - WIDTH + 1, 0)] & (held[WIDTH:] - held[:-WIDTH] < NEED)
+    skip = np.argsort(-of_start, axis=0, kind="stable")[: AGREE - 1]
+    parts = []
+    for k, mine, v, p0, p1 in got:
+        todo = np.flatnonzero(look & ~(skip == k).any(0))
+        a, z = np.searchsorted(todo, p0), np.searchsorted(todo, p1, side="right")
+        safe = np.concatenate([todo, [0]])
+        lo = np.where(z > a, safe[np.minimum(a, len(todo))] - p0, 0)
+        hi = np.where(z > a, safe[np.maximum(z - 1, 0)] - p0 + 1, 0)
+        ask = np.flatnonzero((z > a) | ((m.first[mine] == 1) & (some[p1 + 1] > some[p0])))
+        parts.append([x[ask] for x in (mine, v, p0, p1, lo, hi)])
+    i, v, p0, p1, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     # a window that stands for its content goes to every block of its value, one with open starts is asked in one of them
-    of = m.of[i].astype(np.int64)
-    own = (base.mix(m.d[i].view("<u8") + m.h[i]) % of.astype(np.uint64)).astype(np.int64)
+    of = m.size[i].astype(np.int64) // BLOCK + 1
+    own = (base.mix((m.d[i] ^ m.h[i]).view("<u8")) % of.astype(np.uint64)).astype(np.int64)
     row = np.repeat(np.arange(len(i)), of)
     block = ragged(np.zeros(len(of), np.int64), of)
     here = block == own[row]
@@ -227,10 +269,11 @@ def settle(r: Records, content: np.ndarray) -> Records:
     of_lead = r.first[window] == 1
     if len(r) >= 1 << 24:
         raise ValueError("too many windows in a task: use more shuffle partitions")
-    held = np.unique((key[of_lead].astype(np.uint64) << np.uint64(24)) | window[of_lead].astype(np.uint64))
+    held = base.distinct((key[of_lead].astype(np.uint64) << np.uint64(24)) | window[of_lead].astype(np.uint64))
     names, where = (held >> np.uint64(24)).astype(np.int64), (held & np.uint64(0xFFFFFF)).astype(np.int64)
     post, stop = np.searchsorted(names, key), np.searchsorted(names, key, side="right")
     size = stop - post
+    top = np.flatnonzero(edge("v", "block"))[group]
     docs = np.flatnonzero(edge("v", "block", "d", "h"))
     own = np.repeat(docs, np.diff(np.concatenate([docs, [len(r)]])))
     # starts of passages of which earlier documents' windows hold NEED shingles
@@ -256,8 +299,10 @@ def settle(r: Records, content: np.ndarray) -> Records:
         # of any so many shingles a near window has one: look for those that fewest have
         span = np.arange(begin[i] + left[0], begin[i] + left[-1] + WIDTH)
         rare = span[np.argsort(np.where(earlier[span], size[span], 0), kind="stable")[: len(span) - NEED + 1]]
-        lead = np.unique(where[ragged(post[rare], size[rare])])
-        lead = lead[: np.searchsorted(lead, own[i])]
+        has = np.zeros(max(own[i] - top[i], 1), bool)
+        at = where[ragged(post[rare], size[rare])]
+        has[at[at < own[i]] - top[i]] = True
+        lead = top[i] + np.flatnonzero(has)
         m = len(lead)
         theirs = content[ragged(begin[lead], n[lead])]
         at = np.concatenate([[0], np.cumsum(n[lead])])
@@ -289,11 +334,11 @@ def settle(r: Records, content: np.ndarray) -> Records:
                 break
     i, j, lo, hi = np.array(out, np.int64).reshape(-1, 4).T
     p = r.p[i].astype(np.int64)
-    return Records(d=r.d[i], h=r.h[i], p=r.p[i], L=(p - lo).astype("u1"), R=(p - hi).astype("u1"), d0=r.d[j], h0=r.h[j], p0=r.p[j])
+    return Records(d=r.d[i], h=r.h[i], p=r.p[i], L=(p - lo).astype("u1"), R=(p - hi).astype("u1"), d0=r.d[j], h0=r.h[j], p0=r.p[j], g=np.full(len(i), AGREE, "u1"))
 
 
-def interval_join(m: Records, agree: int = AGREE) -> Records:
-    """Passages that ``agree`` of the functions give the same partner at about the same alignment.
+def interval_join(m: Records) -> Records:
+    """Passages that AGREE of the functions give the same partner at about the same alignment.
 
     A match covers the passage starts of its window; a sweep over starts and ends counts the matches that cover a start.
     """
@@ -310,13 +355,13 @@ def interval_join(m: Records, agree: int = AGREE) -> Records:
     lo = m.p.astype(np.int64) - m.L
     hi = m.p.astype(np.int64) - m.R + 1
     at = np.concatenate([lo, hi]) + (np.concatenate([group, group]) << 33)
-    step = np.repeat(np.array([1, -1]), n)
+    step = np.concatenate([m.g.astype(np.int64), -m.g.astype(np.int64)])
     order = np.argsort(at, kind="stable")
     at, step = at[order], np.cumsum(step[order])
     last = np.ones(2 * n, bool)
     last[:-1] = at[1:] != at[:-1]
     at, step = at[last], step[last]
-    on = step >= agree
+    on = step >= AGREE
     edge = np.diff(np.concatenate([[0], on.view(np.int8), [0]]))
     s, e = at[np.flatnonzero(edge == 1)], at[np.flatnonzero(edge == -1)]
     g = s >> 33
@@ -384,179 +429,184 @@ _BLOBS = "bucket int, kind int, blob binary"
 
 def near_passages(docs: DataFrame, n: int) -> DataFrame:
     """Verified passages (d, h, s, n, d0, h0, s0, n0 in words, similarity) of ``docs`` (d, h, x), each with an earlier document's."""
-    parts = base.partitions_for(docs)
-    by_value = lambda r: (r.v % np.uint64(n)).astype(np.int64)
 
     def scan(batches):
         held, count = [], 0
+
+        def flush():
+            rows, m = echoes(Records.join(held, _WINDOW))
+            return _batch([*rows.dealt((rows.v % np.uint64(n)).astype(np.int64), WINDOW), *m.dealt(_bucket(m.d, m.h, n), MATCH)])
+
         for b in base.chunks(batches, "x"):
             doc, r = windows(*base.text_buffers(b.column(2)))
             d, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            r.cols["d"], r.cols["h"] = d[doc].astype("<i8"), h[doc].astype("<u2")
+            r.cols["d"], r.cols["h"] = d[doc].astype("<i8"), h[doc].astype("<i8")
             held.append(r)
             count += len(r)
             if count >= HELD:
-                whole, held, count = Records.join(held, _WINDOW), [], 0
-                yield _batch(whole.dealt(by_value(whole), WINDOW))
-        whole = Records.join(held, _WINDOW)
-        yield _batch(whole.dealt(by_value(whole), WINDOW))
-
-    def by_hash(batches):
-        got = [Records.unpack(x, _WINDOW) for b in batches for x in b.column(2).to_pylist()]
-        rows = Records.join(got, _WINDOW)
-        m, k = meet(rows), marks(rows)
-        yield _batch([*m.dealt(_bucket(m.d, n), MATCH), *k.dealt(_bucket(k.d, n), MARK)])
+                yield flush()
+                held, count = [], 0
+        yield flush()
+
+    def by_value(batches):
+        for part in base.by_bucket(batches):
+            got, out = [], []
+            for b in part:
+                for bucket, kind, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if kind == WINDOW:
+                        got.append(Records.unpack(blob, _WINDOW))
+                    else:
+                        out.append((bucket, kind, blob))
+            rows, m = echoes(Records.join(got, _WINDOW))
+            rows = rows.take(shared(rows)[0])
+            m, k = Records.join([m, meet(rows)], _MATCH), marks(rows)
+            yield _batch([*out, *m.dealt(_bucket(m.d, m.h, n), MATCH), *k.dealt(_bucket(k.d, k.h, n), MARK)])
 
     def by_document(batches):
-        got = []
-        for b in batches:
-            kinds = b.column(1).to_pylist()
-            got += [Records.unpack(x, _MATCH) for x, k in zip(b.column(2).to_pylist(), kinds, strict=True) if k == MATCH]
-            yield b.filter(pa.array([k == MARK for k in kinds]))
-        yield _asks(interval_join(Records.join(got, _MATCH)))
-
-    def by_document_again(batches):
-        yield _asks(interval_join(Records.join([Records.unpack(x, _MATCH) for b in batches for x in b.column(2).to_pylist()], _MATCH), 1))
-
-    def _asks(f):
-        pid = base.mix(base.mix(base.mix(f.d.view("<u8") + f.h) + f.s) ^ base.mix(f.d0.view("<u8") + np.uint64(77) + f.h0) + f.s0)
-        two = [Records(pid=pid, side=np.full(len(f), side, "u1"), d=d, h=h, p=p, n=m) for side, d, h, p, m in ((0, f.d0, f.h0, f.s0, f.n0), (1, f.d, f.h, f.s, f.n))]
-        asks = Records.join(two, _ASK)
-        return _batch(asks.dealt(_bucket(asks.d, n), ASK))
+        for part in base.by_bucket(batches):
+            got, out = [], []
+            for b in part:
+                for bucket, kind, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if kind == MATCH:
+                        got.append(Records.unpack(blob, _MATCH))
+                    else:
+                        out.append((bucket, kind, blob))
+            f = interval_join(Records.join(got, _MATCH))
+            pid = base.mix(base.mix(base.mix((f.d ^ f.h).view("<u8")) + f.s) ^ base.mix((f.d0 ^ f.h0).view("<u8") + np.uint64(77) + f.s0))
+            two = [Records(pid=pid, side=np.full(len(f), side, "u1"), d=d, h=h, p=p, n=m) for side, d, h, p, m in ((0, f.d0, f.h0, f.s0, f.n0), (1, f.d, f.h, f.s, f.n))]
+            asks = Records.join(two, _ASK)
+            yield _batch([*out, *asks.dealt(_bucket(asks.d, asks.h, n), ASK)])
 
     def fetch(batches):
-        asked, parts_ = None, []
-        for b in batches:
-            is_text = np.asarray(b.column(1)) == TEXT
-            if not is_text.all():
-                parts_ += [Records.unpack(x, _ASK) for x in b.column(2).filter(pa.array(~is_text)).to_pylist()]
-            if not is_text.any():
+        for part in base.by_bucket(batches):
+            got, texts = by_kind(part, {ASK: _ASK})
+            if not len(got[ASK]):
                 continue
-            if asked is None:
-                asked = Records.join(parts_, _ASK)
-                asked = asked.take(np.argsort(asked.d, kind="stable"))
-            for c in base.chunks([pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(is_text)) for k in (3, 4, 5)], names=["d", "h", "x"])], "x"):
-                yield _answers(asked, c)
+            for c in base.chunks(texts, "x"):
+                yield from _answers(got[ASK], c)
 
     def _answers(asked, c):
-        d, h = c.column(0).to_numpy(), c.column(1).to_numpy()
-        lo, hi = np.searchsorted(asked.d, d), np.searchsorted(asked.d, d, side="right")
-        wanted = np.flatnonzero(hi > lo)
-        if not len(wanted):
-            return _batch([])
-        some = c.take(pa.array(wanted))
-        data, off = base.text_buffers(some.column(2))
+        d, h = np.asarray(c.column(3)), np.asarray(c.column(4))
+        mine = [of_document(asked, int(d[i]), int(h[i])) for i in range(c.num_rows)]
+        wanted = [i for i, r in enumerate(mine) if len(r)]
+        if not wanted:
+            return
+        data, off = base.text_buffers(c.column(5).take(pa.array(wanted)))
         start, end, first = base.words(data, off)
         sh, _, begin = base.shingles(base.word_hashes(data, start, end), first, SHINGLE)
         sh = (sh >> np.uint64(32)).astype("<u4")
-        rows, values = [], []
-        for j, i in enumerate(wanted.tolist()):
-            mine = lo[i] + np.flatnonzero(asked.h[lo[i] : hi[i]] == h[i])
-            r = asked.take(mine)
-            a = begin[j] + np.minimum(r.p, begin[j + 1] - begin[j])
-            z = np.minimum(a + r.n, begin[j + 1])
-            r.cols["n"] = (z - a).astype("<u4")
-            rows.append(r)
-            values += [sh[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
-        r = Records.join(rows, _ASK)
+        which = np.repeat(np.arange(len(wanted)), [len(mine[i]) for i in wanted])
+        r = asked.take(np.concatenate([mine[i] for i in wanted]))
+        a = begin[which] + np.minimum(r.p, begin[which + 1] - begin[which])
+        size = np.minimum(a + r.n, begin[which + 1]) - a
+        r.cols["n"] = size.astype("<u4")
         bucket = (r.pid % np.uint64(n)).astype(np.int64)
-        out = []
-        for k in np.unique(bucket):
-            i = np.flatnonzero(bucket == k)
-            out.append((int(k), ASK, r.take(i).pack() + b"".join(values[j].tobytes() for j in i)))
-        return _batch(out)
+        # a passage that very many ask for is answered in slices
+        piece = np.cumsum(size) // HELD
+        for lo, hi in zip(*_edges(piece), strict=True):
+            order = lo + np.argsort(bucket[lo:hi], kind="stable")
+            out = []
+            for x, y in zip(*_edges(bucket[order]), strict=True):
+                i = order[x:y]
+                out.append((int(bucket[i[0]]), ASK, r.take(i).pack() + sh[ragged(a[i], size[i])].tobytes()))
+            yield _batch(out)
 
     def check(batches):
-        rs, values = [], []
-        for b in batches:
-            for blob in b.column(2).to_pylist():
-                r = Records.unpack(blob, _ASK)
-                rs.append(r)
-                values.append(np.frombuffer(blob, "<u4", int(r.n.sum()), len(r.pack())))
-        r, v = Records.join(rs, _ASK), np.concatenate(values) if values else np.zeros(0, "<u4")
-        begin = np.cumsum(r.n.astype(np.int64)) - r.n
-        order = np.lexsort((r.side, r.pid))
-        out, seen = [], set()
-        for i, j in zip(order[:-1], order[1:], strict=True):
-            if r.pid[i] != r.pid[j] or r.side[i] == r.side[j] or r.pid[j] in seen:
-                continue
-            seen.add(r.pid[j])
-            a, b = (v[begin[k] : begin[k] + r.n[k]] for k in (i, j))
-            for s, e, s0, e0, sim in verify(a, b):
-                more = SHINGLE - 1
-                out.append((int(r.d[j]), int(r.h[j]), int(r.p[j]) + s, e - s + more, int(r.d[i]), int(r.h[i]), int(r.p[i]) + s0, e0 - s0 + more, sim))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 8 else pa.int64()) for k, c in enumerate(cols)], names=["d", "h", "s", "n", "d0", "h0", "s0", "n0", "similarity"])
-
-    def runs(batches):
-        for b in batches:
-            r = Records(d=np.asarray(b.column(0)).astype("<i8"), h=np.asarray(b.column(1)).astype("<u2"), s=np.asarray(b.column(2)).astype("<u4"), n=np.asarray(b.column(3)).astype("<u4"))
-            yield _batch(r.dealt(_bucket(r.d, n), RUN))
+        for part in base.by_bucket(batches):
+            rs, values = [], []
+            for b in part:
+                for blob in b.column(2).to_pylist():
+                    r = Records.unpack(blob, _ASK)
+                    rs.append(r)
+                    values.append(np.frombuffer(blob, "<u4", int(r.n.sum(dtype=np.int64)), len(r.pack())))
+            r, v = Records.join(rs, _ASK), np.concatenate(values)
+            begin = np.cumsum(r.n.astype(np.int64)) - r.n
+            order = np.lexsort((r.side, r.pid))
+            out, seen = [], set()
+            for i, j in zip(order[:-1], order[1:], strict=True):
+                if r.pid[i] != r.pid[j] or r.side[i] == r.side[j] or r.pid[j] in seen:
+                    continue
+                seen.add(r.pid[j])
+                a, b = (v[begin[k] : begin[k] + r.n[k]] for k in (i, j))
+                for s, e, s0, e0, sim in verify(a, b):
+                    more = SHINGLE - 1
+                    out.append((int(r.d[j]), int(r.h[j]), int(r.p[j]) + s, e - s + more, int(r.d[i]), int(r.h[i]), int(r.p[i]) + s0, e0 - s0 + more, sim))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 8 else pa.int64()) for k, c in enumerate(cols)], names=["d", "h", "s", "n", "d0", "h0", "s0", "n0", "similarity"])
 
     def left_open(batches):
-        known, asked, run_parts, mark_parts = None, None, [], []
-        for b in batches:
-            kinds = np.asarray(b.column(1))
-            is_text = kinds == TEXT
-            run_parts += [Records.unpack(x, _RUN) for x in b.column(2).filter(pa.array(kinds == RUN)).to_pylist()]
-            mark_parts += [Records.unpack(x, _MARK) for x in b.column(2).filter(pa.array(kinds == MARK)).to_pylist()]
-            if not is_text.any():
+        for part in base.by_bucket(batches):
+            got, texts = by_kind(part, {RUN: _RUN, MARK: _MARK})
+            if not len(got[MARK]):
                 continue
-            if known is None:
-                known, asked = RunsOf(run_parts), Records.join(mark_parts, _MARK)
-                asked, run_parts, mark_parts = asked.take(np.argsort(asked.d, kind="stable")), [], []
-            for c in base.chunks([pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(is_text)) for k in (3, 4, 5)], names=["d", "h", "x"])], "x"):
-                d, h = c.column(0).to_numpy(), c.column(1).to_numpy()
-                lo, hi = np.searchsorted(asked.d, d), np.searchsorted(asked.d, d, side="right")
-                some = np.flatnonzero(hi > lo)
-                if not len(some):
+            known = RunsOf(got[RUN])
+            for c in base.chunks(texts, "x"):
+                d, h = np.asarray(c.column(3)), np.asarray(c.column(4))
+                mine = [of_document(got[MARK], int(d[i]), int(h[i])) for i in range(c.num_rows)]
+                some = [i for i, r in enumerate(mine) if len(r)]
+                if not some:
                     continue
-                mine = [asked.take(lo[i] + np.flatnonzero(asked.h[lo[i] : hi[i]] == h[i])) for i in some.tolist()]
-                _, r, content = open_windows(*base.text_buffers(c.take(pa.array(some)).column(2)), mine, [known(int(d[i]), int(h[i])) for i in some.tolist()])
+                _, r, content = open_windows(*base.text_buffers(c.column(5).take(pa.array(some))), [got[MARK].take(mine[i]) for i in some], [known(int(d[i]), int(h[i])) for i in some])
                 at = np.concatenate([[0], np.cumsum(r.n.astype(np.int64))])
                 bucket = (base.mix(r.v + r.block) % np.uint64(n)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 out = []
-                for i in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                    size = r.n[i].astype(np.int64)
-                    out.append((int(bucket[i[0]]), OPEN, r.take(i).pack() + content[ragged(at[i], size)].tobytes()))
+                for x, y in zip(*_edges(bucket[order]), strict=True):
+                    i = order[x:y]
+                    out.append((int(bucket[i[0]]), OPEN, r.take(i).pack() + content[ragged(at[i], r.n[i].astype(np.int64))].tobytes()))
                 yield _batch(out)
 
     def by_value_again(batches):
-        rs, contents = [], []
-        for b in batches:
-            for blob in b.column(2).to_pylist():
-                r = Records.unpack(blob, _OPEN)
-                rs.append(r)
-                contents.append(np.frombuffer(blob, "<u2", int(r.n.sum(dtype=np.int64)), len(r.pack())))
-        r, content = Records.join(rs, _OPEN), np.concatenate(contents) if contents else np.zeros(0, "<u2")
-        rs, contents = [], []
-        # whole values at a time, so that what settle lays out is of bounded size
-        slices = len(content) // HELD + 1
-        part = ((base.mix(r.v + r.block) >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
-        size = r.n.astype(np.int64)
-        at = np.cumsum(size) - size
-        for k in range(slices):
-            i = np.flatnonzero(part == k)
-            m = settle(r.take(i), content[ragged(at[i], size[i])])
-            yield _batch(m.dealt(_bucket(m.d, n), MATCH))
+        for part in base.by_bucket(batches):
+            rs, contents = [], []
+            for b in part:
+                for blob in b.column(2).to_pylist():
+                    r = Records.unpack(blob, _OPEN)
+                    rs.append(r)
+                    contents.append(np.frombuffer(blob, "<u2", int(r.n.sum(dtype=np.int64)), len(r.pack())))
+            r, content = Records.join(rs, _OPEN), np.concatenate(contents)
+            # whole values at a time, so that what settle lays out is of bounded size
+            slices = len(content) // HELD + 1
+            piece = ((base.mix(r.v + r.block) >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+            size = r.n.astype(np.int64)
+            at = np.cumsum(size) - size
+            for k in range(slices):
+                i = np.flatnonzero(piece == k)
+                m = settle(r.take(i), content[ragged(at[i], size[i])])
+                yield _batch(m.dealt(_bucket(m.d, m.h, n), MATCH))
 
     def verified(asks, tag):
         told = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
-        found = told.repartition(parts, "bucket").mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double")
-        return base.stash(found, tag)
+        return base.stash(dealt(told).mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double"), tag)
 
     docs = docs.select("d", "h", "x")
-    met = docs.mapInArrow(scan, _BLOBS).repartition(parts, "bucket").mapInArrow(by_hash, _BLOBS)
-    asks = base.stash(met.repartition(parts, "bucket").mapInArrow(by_document, _BLOBS), "passages-asked")
+    met = dealt(docs.mapInArrow(scan, _BLOBS)).mapInArrow(by_value, _BLOBS)
+    asks = base.stash(dealt(met).mapInArrow(by_document, _BLOBS), "passages-asked")
     found = verified(asks.where(F.col("kind") == ASK), "passages")
     # what the leads leave open: exactly, with all earlier windows of the same value
-    told = asks.where(F.col("kind") == MARK).unionByName(found.select("d", "h", "s", "n").mapInArrow(runs, _BLOBS))
-    left = beside(docs, told, n).mapInArrow(left_open, _BLOBS).repartition(parts, "bucket").mapInArrow(by_value_again, _BLOBS)
-    more = verified(base.stash(left.repartition(parts, "bucket").mapInArrow(by_document_again, _BLOBS), "passages-asked"), "passages")
+    told = asks.where(F.col("kind") == MARK).unionByName(run_blobs(found, n))
+    left = dealt(beside(docs, told, n).mapInArrow(left_open, _BLOBS)).mapInArrow(by_value_again, _BLOBS)
+    more = verified(base.stash(dealt(left).mapInArrow(by_document, _BLOBS), "passages-asked"), "passages")
     return found.unionByName(more)
 
 
+def _edges(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the runs of equal values."""
+    cut = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else []
+    return cut[:-1], cut[1:]
+
+
+def run_blobs(found: DataFrame, n: int) -> DataFrame:
+    """Blobs of the runs of ``found``, dealt to the buckets of their documents."""
+
+    def pack(batches):
+        for b in batches:
+            r = unite(Records(d=np.asarray(b.column(0)).astype("<i8"), h=np.asarray(b.column(1)).astype("<i8"), s=np.asarray(b.column(2)).astype("<u4"), n=np.asarray(b.column(3)).astype("<u4")))
+            yield _batch(r.dealt(_bucket(r.d, r.h, n), RUN))
+
+    return found.select("d", "h", "s", "n").mapInArrow(pack, _BLOBS)
+
+
 def passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: (key, n_spans, n_removed, sources, spans).
 
@@ -566,7 +616,7 @@ def passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     all others; rows equal in id and text are one document; rows with one id but different texts are different documents.
     """
     rows = _prepared(docs, key, text)
-    found = near_passages(rows.drop("id"), 4 * base.partitions_for(docs) + 1)
+    found = near_passages(rows.drop("id"), base.buckets_for(docs))
     span = F.struct(F.col("s").alias("start"), F.col("n").alias("words"), F.nullif(F.col("d0"), F.lit(_NULL_ID)).alias("source"), F.col("s0").alias("source_start"), F.round("similarity", 6).alias("similarity"))
     per = found.groupBy(F.col("d").alias("fd"), F.col("h").alias("fh")).agg(F.array_sort(F.collect_set(span)).alias("spans"))
     # words in the union of spans: spans come by start; each adds what lies beyond the furthest end so far
@@ -588,49 +638,39 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A text that loses everything is empty; null texts stay null.
     """
-    rows = _prepared(docs, key, text)
-    n = 4 * base.partitions_for(docs) + 1
-    found = near_passages(rows.drop("id"), n)
-
-    def blobs(batches):
-        for b in batches:
-            r = Records(d=np.asarray(b.column(0)).astype("<i8"), h=np.asarray(b.column(1)).astype("<u2"), s=np.asarray(b.column(2)).astype("<u4"), n=np.asarray(b.column(3)).astype("<u4"))
-            yield _batch(unite(r).dealt(_bucket(unite(r).d, n), RUN))
-
+    n = base.buckets_for(docs)
+    found = near_passages(_prepared(docs, key, text).drop("id"), n)
     others = [c for c in docs.columns if c != text]
-    whole = docs.select(F.struct(*others).alias("row"), F.col(text).isNull().alias("none"), F.col(key).alias("__k"), F.col(text).alias("__x"))
-    rows = whole.select("row", "none", F.coalesce(F.col("__k").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(F.coalesce("__x", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("h"), F.coalesce("__x", F.lit("")).alias("x"))
-    both = beside(rows, found.select("d", "h", "s", "n").mapInArrow(blobs, _BLOBS), n)
-    names = both.columns
+    whole = docs.select(F.struct(*others).alias("row"), F.col(text).isNull().alias("none"), F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    rows = whole.select("row", "none", F.coalesce(F.col("__k").cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64("x").alias("h"), "x")
+    both = beside(rows, run_blobs(found, n), n)
+    row_at, none_at = both.columns.index("row"), both.columns.index("none")
 
     def cut(batches):
-        runs_of, parts = None, []
-        for b in batches:
-            col = {c: b.column(i) for i, c in enumerate(names)}
-            is_text = np.asarray(col["kind"]) == TEXT
-            if not is_text.all():
-                parts += [Records.unpack(x, {"d": "<i8", "h": "<u2", "s": "<u4", "n": "<u4"}) for x in col["blob"].filter(pa.array(~is_text)).to_pylist()]
-            if not is_text.any():
-                continue
-            if runs_of is None:
-                runs_of, parts = RunsOf(parts), []
-            m = pa.array(is_text)
-            d, h = col["d"].filter(m).to_pylist(), col["h"].filter(m).to_pylist()
-            texts, none = col["x"].filter(m).to_pylist(), col["none"].filter(m).to_pylist()
-            for i, (a, z) in enumerate(zip(d, h, strict=True)):
-                s, k = runs_of(a, z)
-                if len(s):
-                    raw = texts[i].encode("utf-8", "surrogatepass")
-                    start, end, _ = base.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    out, at = [], 0
-                    for p, q in zip(s.tolist(), (s + k).tolist(), strict=True):
-                        out.append(raw[at : start[p]])
-                        at = int(end[min(q, len(end)) - 1])
-                    texts[i] = b"".join([*out, raw[at:]]).decode("utf-8", "replace")
-                elif none[i]:
-                    texts[i] = None
-            yield pa.RecordBatch.from_arrays([col["row"].filter(m), pa.array(texts, pa.string())], names=["row", "x"])
+        for part in base.by_bucket(batches):
+            got, texts = by_kind(part, {RUN: _RUN})
+            runs_of = RunsOf(got[RUN])
+            for c in base.chunks(texts, "x"):
+                out = c.column(5).to_pylist()
+                for i, (d, h, none) in enumerate(zip(c.column(3).to_pylist(), c.column(4).to_pylist(), c.column(none_at).to_pylist(), strict=True)):
+                    s, k = runs_of(d, h)
+                    if none:
+                        out[i] = None
+                    elif len(s):
+                        out[i] = without_words(out[i], s, k)
+                yield pa.RecordBatch.from_arrays([c.column(row_at), pa.array(out, pa.string())], names=["row", "x"])
 
     kind = whole.schema["row"].dataType.simpleString()
     got = both.mapInArrow(cut, f"row {kind}, x string")
     return got.select(*[F.col("x").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def without_words(text: str, start: np.ndarray, size: np.ndarray) -> str:
+    """``text`` without runs of words, each cut from its first word's first byte to its last word's last."""
+    raw = text.encode("utf-8", "surrogatepass")
+    lo, hi, _ = base.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    out, at = [], 0
+    for p, q in zip(start.tolist(), (start + size).tolist(), strict=True):
+        out.append(raw[at : lo[p]])
+        at = int(hi[q - 1])
+    return b"".join([*out, raw[at:]]).decode("utf-8", "replace")

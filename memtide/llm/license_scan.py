@@ -76,7 +76,7 @@ def term_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
             s, e, first = base.words(data, off)
             t = _term_of(base.word_hashes(data, s, e), hashes, order)
             doc = base.doc_of(first)[t >= 0]
-            seen = np.unique(doc * n + t[t >= 0]) % n
+            seen = base.distinct(doc * n + t[t >= 0]) % n
             total[:n] += np.bincount(seen, minlength=n)
             total[n] += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(n + 1), pa.int32()), pa.array(total)], names=["term", "c"])
@@ -110,7 +110,7 @@ def statements(files: DataFrame, idf: np.ndarray, path: str, text: str, keep: tu
             h = base.word_hashes(data, s, e)
             t = _term_of(h, hashes, order)
             # lines: those of each text and after every line feed
-            lines = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
+            lines = base.distinct(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
             line = np.searchsorted(lines, s, side="right") - 1
             doc = np.searchsorted(off, s, side="right") - 1
             known = np.bincount(line, t >= 0, len(lines))

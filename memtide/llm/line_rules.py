@@ -94,7 +94,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
     # lines
     feeds = np.flatnonzero(data == 10) + 1
-    s = np.unique(np.concatenate([lo[lo < hi], feeds[feeds < n]]))
+    s = base.distinct(np.concatenate([lo[lo < hi], feeds[feeds < n]]))
     e = np.concatenate([s[1:], [n]]) if len(s) else s
     w0, w1 = np.searchsorted(start, s), np.searchsorted(start, e)
     has = w1 > w0

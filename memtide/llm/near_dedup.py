@@ -122,7 +122,7 @@ def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
             data, off = base.text_buffers(b.column(0))
             start, end, first = base.words(data, off)
             f = _word_features(base.word_hashes(data, start, end))
-            seen = np.unique(base.doc_of(first) * FEATURES + f) % FEATURES
+            seen = base.distinct(base.doc_of(first) * FEATURES + f) % FEATURES
             total += np.bincount(seen, minlength=FEATURES)
             n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u4").tobytes() for i in range(SLICES)], pa.binary()), pa.array([n] * SLICES, pa.int64())], names=["s", "c", "n"])

@@ -170,9 +170,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
     if y.min() == y.max():
         return RuleModel(float(prior))
     rng = np.random.default_rng(seed)
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    cuts = [base.distinct(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     # a feature that is mostly one value still needs a cut beside it
-    cuts = [np.unique(np.concatenate([c, np.quantile(x[y == 0, f], [0.05, 0.25, 0.5])])) for f, c in enumerate(cuts)]
+    cuts = [base.distinct(np.concatenate([c, np.quantile(x[y == 0, f], [0.05, 0.25, 0.5])])) for f, c in enumerate(cuts)]
     code = np.column_stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])
     paths: set = set()
     for _ in range(TREES):

@@ -5,8 +5,9 @@ Which bytes to index is decided by content: of the 69 32-byte grams inside a
 equal anchors at equal places, and an anchor owns a run of string starts.
 
 1. Map side, each anchor becomes a record (gram, context, place), where context
-   hashes everything its strings cover; within a chunk of the corpus only the
-   first record of each context goes on, the others are repeats already.
+   hashes everything its strings cover, by another polynomial than the gram's;
+   within a chunk of the corpus only the first record of each context goes on,
+   the others are repeats already.
 2. By gram, records of equal context are repeats of their first.  A gram whose
    records have several contexts goes on with the first of each; one that
    occurs once ends here.
@@ -20,6 +21,7 @@ equal anchors at equal places, and an anchor owns a run of string starts.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,25 @@ SPAN = LENGTH - GRAM + 1
 #: Records that a map task holds before it sends them on; suffixes of the first level of an index family.
 HELD, BATCH = 1 << 20, 1 << 14
 
-_ID = np.arange(256, dtype=np.uint8)
+#: The contexts' own polynomial: gram and context are two independent hashes of 64 bits.
+_BASE = 0x9FB21C651E98DF25
+_INV = pow(_BASE, -1, 1 << 64)
+_RAND = np.random.default_rng(20240415).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _context_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums of the contexts' polynomial, inverse powers)."""
+    n = len(data) + 1
+    if len(_POW[0]) < n:
+        for k, b in enumerate((_BASE, _INV)):
+            p = np.full(max(n, base.CHUNK_BYTES // 2), b, np.uint64)
+            p[0] = 1
+            _POW[k] = np.cumprod(p)
+    acc = np.empty(n, np.uint64)
+    acc[0] = 0
+    np.cumsum(_RAND[data] * _POW[0][: n - 1], out=acc[1:])
+    return acc, _POW[1]
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -63,6 +83,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     new[1:] = at[1:] != at[:-1]
     i = np.flatnonzero(new)
     a, p0, p1 = at[i], start[i], start[np.concatenate([i[1:] - 1, [len(at) - 1]])]
+    acc, down = _context_sums(data)
     context = (acc[p1 + length] - acc[p0]) * down[p0]
     context = base.mix(context + ((a - p0) * 131 + (a - p1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return np.searchsorted(off, a, side="right") - 1, a, p0, p1, h[a], context
@@ -107,10 +128,10 @@ class Records:
             yield int(b[lo]), kind, self.take(order[lo:hi]).pack()
 
 
-# A document is (d, h): its id and 16 bits of its text's hash, which tell apart rows that share an id; both order the corpus.
-_ANCHOR = {"k": "<u8", "c": "<u8", "d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1"}
-_RUN = {"d": "<i8", "h": "<u2", "s": "<u4", "n": "<u4"}
-_ASK = {"k": "<u8", "d": "<i8", "h": "<u2", "p": "<u4", "L": "u1", "R": "u1"}
+# A document is (d, h): its id and the 64-bit hash of its text, which tells apart rows that share an id or have none; both order the corpus.
+_ANCHOR = {"k": "<u8", "c": "<u8", "d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1"}
+_RUN = {"d": "<i8", "h": "<i8", "s": "<u4", "n": "<u4"}
+_ASK = {"k": "<u8", "d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1"}
 RUN, ANCHOR, ASK, TEXT = 0, 1, 2, 9
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -249,7 +270,7 @@ def compare_contexts(asked: Records, bytes_: np.ndarray, begin: np.ndarray) -> R
     out = []
     families: dict[int, IndexFamily] = {}
     family = (asked.k >> np.uint64(40)).astype(np.int64) % max(1, n // (4 * BATCH) + 1)
-    for f in np.unique(family):
+    for f in base.distinct(family):
         mine = np.flatnonzero(family == f)
         index = families.setdefault(int(f), IndexFamily())
         for lo in range(0, len(mine), index.batch):
@@ -286,13 +307,13 @@ def unite(r: Records) -> Records:
 # --- Spark --------------------------------------------------------------------------------------
 
 
-def _bucket(d: np.ndarray, n: int) -> np.ndarray:
-    u = d.astype(np.uint64)
-    return ((u ^ (u >> np.uint64(11)) ^ (u >> np.uint64(23))) & np.uint64(0x7FFFFFFFFFFFFFFF)).astype(np.int64) % n
+def _bucket(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    return ((d ^ h) & 0x7FFFFFFFFFFFFFFF) % n
 
 
-def _bucket_column(d, n: int):
-    return F.pmod((d.bitwiseXOR(F.shiftrightunsigned(d, 11)).bitwiseXOR(F.shiftrightunsigned(d, 23))).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)), F.lit(n)).cast("int")
+def _bucket_column(n: int):
+    """The same of columns d and h."""
+    return F.pmod(F.col("d").bitwiseXOR(F.col("h")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)), F.lit(n)).cast("int")
 
 
 _BLOBS = "bucket int, kind int, blob binary"
@@ -311,9 +332,30 @@ def _size(r: Records) -> np.ndarray:
     return r.L.astype(np.int64) - r.R + LENGTH
 
 
+def of_document(r: Records, d: int, h: int) -> np.ndarray:
+    """The rows of a document among records that are sorted by document."""
+    lo, hi = np.searchsorted(r.d, d), np.searchsorted(r.d, d, side="right")
+    return np.arange(lo + np.searchsorted(r.h[lo:hi], h), lo + np.searchsorted(r.h[lo:hi], h, side="right"))
+
+
+def by_kind(part, kinds: dict[int, dict]):
+    """(records of each kind of blobs of a bucket, an iterator of its batches of texts): blobs come before texts."""
+    got: dict[int, list] = {k: [] for k in kinds}
+    texts = iter(())
+    for b in part:
+        kind = np.asarray(b.column(1))
+        for k, fields in kinds.items():
+            if (kind == k).any():
+                got[k] += [Records.unpack(x, fields) for x in b.column(2).filter(pa.array(kind == k)).to_pylist()]
+        if (kind == TEXT).any():
+            texts = itertools.chain([b.filter(pa.array(kind == TEXT))], part)
+            break
+    joined = {k: Records.join(v, kinds[k]) for k, v in got.items()}
+    return {k: r.take(np.lexsort((r.h, r.d))) for k, r in joined.items()}, texts
+
+
 def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
     """Blobs of runs (kind RUN) dealt to ``n`` buckets of documents, for ``docs`` (d, h, x)."""
-    parts = base.partitions_for(docs)
 
     def scan(batches):
         held, count, runs = [], 0, []
@@ -323,13 +365,13 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
             firsts, more = split_repeats(Records.join(held, _ANCHOR))
             both = unite(Records.join([*runs, more], _RUN))
             held, count, runs = [], 0, []
-            return _batch([*firsts.dealt((firsts.k % np.uint64(n)).astype(np.int64), ANCHOR), *both.dealt(_bucket(both.d, n), RUN)])
+            return _batch([*firsts.dealt((firsts.k % np.uint64(n)).astype(np.int64), ANCHOR), *both.dealt(_bucket(both.d, both.h, n), RUN)])
 
         for b in base.chunks(batches, "x"):
             data, off = base.text_buffers(b.column(2))
             doc, a, p0, p1, k, c = anchors(data, off)
             d, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            r = Records(k=k, c=c, d=d[doc].astype("<i8"), h=h[doc].astype("<u2"), p=(a - off[doc]).astype("<u4"), L=(a - p0).astype("u1"), R=(a - p1).astype("u1"))
+            r = Records(k=k, c=c, d=d[doc].astype("<i8"), h=h[doc].astype("<i8"), p=(a - off[doc]).astype("<u4"), L=(a - p0).astype("u1"), R=(a - p1).astype("u1"))
             firsts, more = split_repeats(r)
             held.append(firsts)
             runs.append(unite(more))
@@ -339,49 +381,40 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
         yield flush()
 
     def by_gram(batches):
-        got = []
-        for b in batches:
-            for bucket, kind, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if kind == RUN:
-                    yield _batch([(bucket, kind, blob)])
-                else:
-                    got.append(Records.unpack(blob, _ANCHOR))
-        firsts, runs = split_repeats(Records.join(got, _ANCHOR))
-        del got
-        asked = several_contexts(firsts)
-        asked = Records(**{c: asked.cols[c] for c in _ASK})
-        runs = unite(runs)
-        yield _batch([*runs.dealt(_bucket(runs.d, n), RUN), *asked.dealt(_bucket(asked.d, n), ASK)])
+        for part in base.by_bucket(batches):
+            got, out = [], []
+            for b in part:
+                for bucket, kind, blob in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if kind == RUN:
+                        out.append((bucket, kind, blob))
+                    else:
+                        got.append(Records.unpack(blob, _ANCHOR))
+            firsts, runs = split_repeats(Records.join(got, _ANCHOR))
+            asked = several_contexts(firsts)
+            asked = Records(**{c: asked.cols[c] for c in _ASK})
+            runs = unite(runs)
+            yield _batch([*out, *runs.dealt(_bucket(runs.d, runs.h, n), RUN), *asked.dealt(_bucket(asked.d, asked.h, n), ASK)])
 
     def fetch(batches):
-        asked, parts_ = None, []
-        for b in batches:
-            for kind, blob, d, h, x in zip(*(b.column(c).to_pylist() for c in ("kind", "blob", "d", "h", "x")), strict=True):
-                if kind == ASK:
-                    parts_.append(Records.unpack(blob, _ASK))
+        for part in base.by_bucket(batches):
+            got, texts = by_kind(part, {ASK: _ASK})
+            asked = got[ASK]
+            if not len(asked):
+                continue
+            for c in base.chunks(texts, "x"):
+                d, h = np.asarray(c.column(3)), np.asarray(c.column(4))
+                data, off = base.text_buffers(c.column(5))
+                rows = [(i, of_document(asked, int(d[i]), int(h[i]))) for i in range(c.num_rows)]
+                rows = [(i, r) for i, r in rows if len(r)]
+                if not rows:
                     continue
-                if asked is None:
-                    asked = Records.join(parts_, _ASK)
-                    order = np.lexsort((asked.p, asked.h, asked.d))
-                    asked, parts_, held, size = asked.take(order), [], [], 0
-                lo, hi = np.searchsorted(asked.d, [d, d + 1]) if d < _NULL_ID else (np.searchsorted(asked.d, d), len(asked))
-                i = lo + np.flatnonzero(asked.h[lo:hi] == h)
-                if not len(i):
-                    continue
-                r = asked.take(i)
-                data = np.frombuffer(x.encode("utf-8", "surrogatepass"), np.uint8)
-                n_ = _size(r)
-                at = np.repeat(r.p.astype(np.int64) - r.L - (np.cumsum(n_) - n_), n_) + np.arange(n_.sum())
-                held.append((r, data[at]))
-                size += len(at)
-                if size > 16 << 20:
-                    yield _send(held)
-                    held, size = [], 0
-        if asked is not None and held:
-            yield _send(held)
-
-    def _send(held):
-        r, data = Records.join([x for x, _ in held], _ASK), np.concatenate([x for _, x in held])
+                r = asked.take(np.concatenate([x for _, x in rows]))
+                begin = np.repeat([off[i] for i, _ in rows], [len(x) for _, x in rows])
+                m = _size(r)
+                at = np.repeat(begin + r.p - r.L - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                yield _send(r, data[at])
+
+    def _send(r, data):
         begin = np.cumsum(_size(r)) - _size(r)
         bucket = (r.k % np.uint64(n)).astype(np.int64)
         order = np.lexsort((r.k, bucket))
@@ -395,81 +428,81 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
         return _batch(rows)
 
     def compare(batches):
-        rs, datas = [], []
-        for b in batches:
-            for blob in b.column(2).to_pylist():
-                r = Records.unpack(blob, _ASK)
-                rs.append(r)
-                datas.append(np.frombuffer(blob, np.uint8, int(_size(r).sum()), len(r.pack())))
-        r = Records.join(rs, _ASK)
-        data = np.concatenate(datas) if datas else np.zeros(0, np.uint8)
-        runs = unite(compare_contexts(r, data, np.cumsum(_size(r)) - _size(r)))
-        yield _batch(runs.dealt(_bucket(runs.d, n), RUN))
-
-    known = base.stash(docs.select("d", "h", "x").mapInArrow(scan, _BLOBS).repartition(parts, "bucket").mapInArrow(by_gram, _BLOBS), "runs")
+        for part in base.by_bucket(batches):
+            rs, datas = [], []
+            for b in part:
+                for blob in b.column(2).to_pylist():
+                    r = Records.unpack(blob, _ASK)
+                    rs.append(r)
+                    datas.append(np.frombuffer(blob, np.uint8, int(_size(r).sum()), len(r.pack())))
+            r = Records.join(rs, _ASK)
+            runs = unite(compare_contexts(r, np.concatenate(datas), np.cumsum(_size(r)) - _size(r)))
+            yield _batch(runs.dealt(_bucket(runs.d, runs.h, n), RUN))
+
+    known = base.stash(dealt(docs.select("d", "h", "x").mapInArrow(scan, _BLOBS)).mapInArrow(by_gram, _BLOBS), "runs")
     asks = known.where(F.col("kind") == ASK)
     ctx = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
-    exact = base.stash(ctx.repartition(parts, "bucket").mapInArrow(compare, _BLOBS), "exact-runs")
+    exact = base.stash(dealt(ctx).mapInArrow(compare, _BLOBS), "exact-runs")
     return known.where(F.col("kind") == RUN).union(exact)
 
 
+def dealt(blobs: DataFrame) -> DataFrame:
+    """Blobs of a bucket side by side in one partition."""
+    return blobs.repartition(base.partitions_for(blobs), "bucket").sortWithinPartitions("bucket")
+
+
 def beside(docs: DataFrame, blobs: DataFrame, n: int) -> DataFrame:
-    """Documents and the blobs of their buckets in the same partitions, blobs first."""
-    none = {"bucket": "int", "kind": "int", "blob": "binary", "d": "long", "h": "int", "x": "string"}
-    texts = docs.withColumns({"bucket": _bucket_column(F.col("d"), n), "kind": F.lit(TEXT), "blob": F.lit(None).cast("binary")})
+    """Documents and the blobs of their buckets in the same partitions, bucket by bucket, blobs first."""
+    none = {"bucket": "int", "kind": "int", "blob": "binary", "d": "long", "h": "long", "x": "string"}
+    texts = docs.withColumns({"bucket": _bucket_column(n), "kind": F.lit(TEXT), "blob": F.lit(None).cast("binary")})
     both = texts.select(*none, *[c for c in docs.columns if c not in none]).unionByName(blobs, allowMissingColumns=True)
-    return both.repartition(base.partitions_for(docs), "bucket").sortWithinPartitions("kind")
+    return both.repartition(base.partitions_for(docs), "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
     x = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(x).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("h"), x.alias("x"), F.col(key).alias("id"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(x).alias("h"), x.alias("x"), F.col(key).alias("id"))
 
 
 class RunsOf:
-    """Runs of a partition's documents, looked up by document."""
+    """Runs of a bucket's documents, looked up by document."""
 
-    def __init__(self, parts: list[Records]) -> None:
-        self.r = unite(Records.join(parts, _RUN))
+    def __init__(self, r: Records) -> None:
+        self.r = unite(r)
 
     def __call__(self, d: int, h: int) -> tuple[np.ndarray, np.ndarray]:
-        r = self.r
-        lo, hi = np.searchsorted(r.d, d), np.searchsorted(r.d, d, side="right")
-        i = lo + np.flatnonzero(r.h[lo:hi] == h) if hi > lo else np.zeros(0, np.int64)
-        return r.s[i].astype(np.int64), r.n[i].astype(np.int64)
+        i = of_document(self.r, d, h)
+        return self.r.s[i].astype(np.int64), self.r.n[i].astype(np.int64)
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: (key, n_bytes, n_removed, n_spans, kept_sha256).
 
     Removed is every byte of a 100-byte string that also starts earlier: in a document of smaller id or, in the
-    same document, at a smaller place.  Null texts are empty; a null id is after all others; rows with one id but
-    different texts are ordered by a hash of theirs; rows equal in both are one document, each with its result.
-    An empty table gives an empty result; other columns are not read.
+    same document, at a smaller place.  Null texts are empty; a null id is after all others; rows with one id (or none)
+    but different texts are ordered by a hash of theirs; rows equal in both are one document, each with its result.
+    A very long text is handled whole by one task, which holds its bytes and some arrays of that length.
+    An empty table gives an empty result; other columns are not read, whatever their names.
     """
     rows = _prepared(docs, key, text)
-    n = 4 * base.partitions_for(docs) + 1
+    n = base.buckets_for(docs)
     runs = repeated_runs(rows.drop("id"), n)
 
     def remove(batches):
-        runs_of, parts = None, []
-        for b in batches:
-            out = []
-            for kind, blob, d, h, x, k in zip(*(b.column(c).to_pylist() for c in ("kind", "blob", "d", "h", "x", "id")), strict=True):
-                if kind == RUN:
-                    parts.append(Records.unpack(blob, _RUN))
-                    continue
-                if runs_of is None:
-                    runs_of, parts = RunsOf(parts), []
-                raw = x.encode("utf-8", "surrogatepass")
-                s, m = runs_of(d, h)
-                sha, at = hashlib.sha256(), 0
-                for a, z in zip(s.tolist(), (s + m).tolist(), strict=True):
-                    sha.update(raw[at:a])
-                    at = z
-                sha.update(raw[at:])
-                out.append((k, len(raw), int(m.sum()), len(s), sha.hexdigest()))
-            if out:
+        for part in base.by_bucket(batches):
+            got, texts = by_kind(part, {RUN: _RUN})
+            runs_of = RunsOf(got[RUN])
+            for c in base.chunks(texts, "x"):
+                out = []
+                for d, h, x, k in zip(*(c.column(name).to_pylist() for name in ("d", "h", "x", "id")), strict=True):
+                    raw = x.encode("utf-8", "surrogatepass")
+                    s, m = runs_of(d, h)
+                    sha, at = hashlib.sha256(), 0
+                    for a, z in zip(s.tolist(), (s + m).tolist(), strict=True):
+                        sha.update(raw[at:a])
+                        at = z
+                    sha.update(raw[at:])
+                    out.append((k, len(raw), int(m.sum()), len(s), sha.hexdigest()))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4])], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

@@ -190,7 +190,7 @@ def suffix_cover(rows, chunk, batch):
         data, off = base.text_buffers(pa.array([t for _, t in part]))
         doc, a, p0, p1, k, c = S.anchors(data, off)
         d = np.array([i for i, _ in part])
-        r = S.Records(k=k, c=c, d=d[doc].astype("<i8"), h=np.zeros(len(a), "<u2"), p=(a - off[doc]).astype("<u4"), L=(a - p0).astype("u1"), R=(a - p1).astype("u1"))
+        r = S.Records(k=k, c=c, d=d[doc].astype("<i8"), h=np.zeros(len(a), "<i8"), p=(a - off[doc]).astype("<u4"), L=(a - p0).astype("u1"), R=(a - p1).astype("u1"))
         f, more = S.split_repeats(r)
         held.append(S.Records.unpack(f.pack(), S._ANCHOR))
         runs.append(more)
