@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker; one longer text makes a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Estimated bytes of input whose records are dealt to one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,14 +71,14 @@ def partitions_for(df: DataFrame, at_least: int = 1) -> int:
 
 
 def buckets_for(df: DataFrame) -> int:
-    """Buckets that rows are dealt to by key: of about BUCKET_BYTES of ``df`` each, several a partition at least.
+    """Buckets that rows are dealt to by key: of about BUCKET_BYTES of ``df`` each, one a partition at least.
 
     A task handles its partition bucket by bucket, so what it holds is bounded by a bucket, whatever the session's partitions.
     The size is Catalyst's estimate; a wild one (of joins) only makes more buckets, up to a bound.
     """
     parts = partitions_for(df)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(4 * parts, size // BUCKET_BYTES), 256 * parts) + 1
+    return min(max(parts, size // BUCKET_BYTES), 256 * parts) + 1
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[Iterator[pa.RecordBatch]]:
@@ -133,7 +133,6 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _PRIME, _PRIME_BASE = 0xD1342543DE82EF95, (1 << 31) - 1, 1_318_699_401
 _INV, _PRIME_INV = pow(_BASE, -1, 1 << 64), pow(_PRIME_BASE, -1, _PRIME)
 _RAND = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PRIME_RAND = np.random.default_rng(20240301).integers(1, _PRIME, 256, dtype=np.uint64)
 _POW: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
 
 #: Byte classes: the byte a text byte counts as, 0 for one that separates words.
@@ -210,9 +209,9 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: n
     np.cumsum(v, out=acc[1:])
     h = (acc[end] - acc[start]) * down[start]
     up, down = _prime_powers(n + 1)
-    v = _PRIME_RAND[low]
-    v *= up[:n]
-    v = (v & np.uint64(_PRIME)) + (v >> np.uint64(31))  # below 2^32, and alike modulo the prime
+    v = low * up[:n]
+    if n >= 1 << 24:  # below that no sum leaves 64 bits
+        v %= np.uint64(_PRIME)
     np.cumsum(v, out=acc[1:])
     p = (acc[end] - acc[start]) % np.uint64(_PRIME) * down[start] % np.uint64(_PRIME)
     return mix(h ^ mix(p * _MULT + (end - start).astype(np.uint64)))

@@ -9,8 +9,8 @@ finds passages that enough of them agree on; those are verified by the exact
 Jaccard similarity of their shingles.
 
 Windows of one content stand for each other: of those a task meets only the first goes on, and the others match it.
-Windows of a value first meet leads only.  What the verified passages leave open is then compared with every
-earlier window of its value, in blocks, by the windows' shingles.
+Where a value has few windows all pairs of them meet; where it has many they first meet leads only, and what the
+verified passages leave open is then compared with every earlier window of its value, in blocks, by the windows' shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .suffix_dedup import _NULL_ID, _RUN, RUN, Records, RunsOf, _batch, _bucket, _prepared, beside, by_kind, dealt, of_document, unite
+from .suffix_dedup import _NULL_ID, _RUN, RUN, Outbox, Records, RunsOf, _batch, _bucket, _prepared, beside, by_kind, dealt, of_document, unite
 
 SHINGLE, PASSAGE, THRESHOLD = 5, 50, 0.8
 #: Shingles of the shortest passage; min-hash functions, and how many must agree.
@@ -33,6 +33,8 @@ CONTEXT, SIDE = 6, (WIDTH - 1) // 2
 #: How far alignments may drift inside a passage.
 DRIFT = 16
 HELD = 1 << 19
+#: Of values with so many windows all pairs meet; windows of others meet leads, and what those leave open the exact pass compares.
+FEW = 16
 #: Distinct windows of a value in a block of the exact pass, and the shingles of a passage that a near one shares at least.
 BLOCK = 1024
 NEED = int(np.ceil(2 * THRESHOLD / (1 + THRESHOLD) * WIDTH - 1e-9))
@@ -147,17 +149,23 @@ def echoes(rows: Records) -> tuple[Records, Records]:
 
 
 def meet(rows: Records) -> Records:
-    """Matches of windows with equal min-hash: each with the first that has its context on both sides, on the left and on
-    the right, and firsts of contexts with the first of all and the one before.  A group of n windows gives at most 5 n
-    matches; windows of one document none."""
-    pairs, firsts = [], None
+    """Matches of windows with equal min-hash: in groups of FEW at most all pairs; in others each with the first that has its
+    context on both sides, on the left and on the right, and firsts of contexts with the first of all and the one before,
+    at most 5 n matches for n windows.  Windows of one document do not match."""
     rows = rows.take(np.lexsort((rows.p, rows.h, rows.d)))
+    order, lead = _groups(rows.v)
+    rank = np.arange(len(lead)) - lead
+    few = np.bincount(lead, minlength=len(lead))[lead] <= FEW
+    later = np.flatnonzero(few)
+    pairs = [(order[ragged(lead[later], rank[later])], np.repeat(order[later], rank[later]))]
+    many = np.sort(order[~few])
+    firsts = many
     for c in ("x", "y", "z"):
-        order, lead = _groups(base.mix(rows.v ^ (rows.cols[c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        order, lead = _groups(base.mix(rows.v[many] ^ (rows.cols[c][many].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
         new = lead == np.arange(len(lead))
-        pairs.append((order[lead[~new]], order[~new]))
+        pairs.append((many[order[lead[~new]]], many[order[~new]]))
         if c == "x":
-            firsts = np.sort(order[new])
+            firsts = np.sort(many[order[new]])
     order, lead = _groups(rows.v[firsts])
     f = firsts[order]
     later = np.flatnonzero(lead != np.arange(len(lead)))
@@ -169,7 +177,7 @@ def meet(rows: Records) -> Records:
 
 
 def marks(rows: Records) -> Records:
-    """The windows whose min-hash another document has: whether each is the first with its content, and how many such its value has."""
+    """The windows whose min-hash another document has: whether each is the first with its content, and how many such its value has (0 where it has FEW windows at most)."""
     if not len(rows):
         return Records.join([], _MARK)
     r = rows.take(np.lexsort((rows.p, rows.h, rows.d, rows.R, rows.L, rows.w, rows.v)))
@@ -177,6 +185,7 @@ def marks(rows: Records) -> Records:
     value, first = edge("v"), edge("v", "w", "L", "R")
     group, top = np.cumsum(value) - 1, np.flatnonzero(value)
     firsts = np.add.reduceat(first.astype(np.int64), top)
+    firsts[np.bincount(group) <= FEW] = 0
     other = (r.d != r.d[top[group]]) | (r.h != r.h[top[group]])
     i = np.flatnonzero(np.logical_or.reduceat(other, top)[group])
     i = i[np.lexsort((r.p[i], r.k[i], r.h[i], r.d[i]))]
@@ -191,9 +200,9 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, Records, np.ndarray]:
     """(text of each, windows, their shingles as 16-bit numbers) for the exact pass, of a chunk of texts with their marks and verified runs.
 
-    Open are starts of passages of which verified runs hold fewer than NEED shingles and which lie in marked windows of
-    AGREE functions.  A near passage agrees in AGREE of those, so a start needs no look in AGREE - 1 of them: where
-    most windows have its value.
+    Open are starts of passages of which verified runs hold fewer than NEED shingles, which lie in marked windows of AGREE
+    functions, one of them of a value with many windows.  A near passage agrees in AGREE of those; all of it that few windows'
+    values can tell is known.  Where all the values have many windows AGREE - 1 of them need no look: where most have its value.
     """
     start, end, first = base.words(data, off)
     sh, _, begin = base.shingles(base.word_hashes(data, start, end), first, SHINGLE)
@@ -206,7 +215,7 @@ def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: l
     doc = np.repeat(np.arange(len(mark)), [len(m) for m in mark])
     m = Records.join(mark, _MARK)
     at = begin[doc] + m.p
-    of_start = np.zeros((HASHES, n), np.int64)
+    of_start = np.full((HASHES, n), -1, np.int64)
     got = []
     for k in range(HASHES):
         value = base.mix(sh * _ODD[k])
@@ -220,19 +229,20 @@ def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: l
         got.append((k, mine, base.mix(value[node[i]] + np.uint64(k)), p0[i], p1[i]))
     if not got:
         return doc[:0], Records.join([], _OPEN), np.zeros(0, "<u2")
-    enough = (of_start > 0).sum(0) >= AGREE
+    marked, many = (of_start >= 0).sum(0), (of_start > 0).sum(0)
+    enough = (marked >= AGREE) & (many > 0)
     some = np.concatenate([[0], np.cumsum(enough)])
     look = np.zeros(n, bool)
     look[: max(n - WIDTH + 1, 0)] = enough[: max(n - WIDTH + 1, 0)] & (held[WIDTH:] - held[:-WIDTH] < NEED)
     skip = np.argsort(-of_start, axis=0, kind="stable")[: AGREE - 1]
     parts = []
     for k, mine, v, p0, p1 in got:
-        todo = np.flatnonzero(look & ~(skip == k).any(0))
+        todo = np.flatnonzero(look & (of_start[k] > 0) & ~((skip == k).any(0) & (marked == many)))
         a, z = np.searchsorted(todo, p0), np.searchsorted(todo, p1, side="right")
         safe = np.concatenate([todo, [0]])
         lo = np.where(z > a, safe[np.minimum(a, len(todo))] - p0, 0)
         hi = np.where(z > a, safe[np.maximum(z - 1, 0)] - p0 + 1, 0)
-        ask = np.flatnonzero((z > a) | ((m.first[mine] == 1) & (some[p1 + 1] > some[p0])))
+        ask = np.flatnonzero((m.size[mine] > 0) & ((z > a) | ((m.first[mine] == 1) & (some[p1 + 1] > some[p0]))))
         parts.append([x[ask] for x in (mine, v, p0, p1, lo, hi)])
     i, v, p0, p1, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
     # a window that stands for its content goes to every block of its value, one with open starts is asked in one of them
@@ -449,6 +459,7 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
         yield flush()
 
     def by_value(batches):
+        told = Outbox(n)
         for part in base.by_bucket(batches):
             got, out = [], []
             for b in part:
@@ -459,10 +470,13 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
                         out.append((bucket, kind, blob))
             rows, m = echoes(Records.join(got, _WINDOW))
             rows = rows.take(shared(rows)[0])
-            m, k = Records.join([m, meet(rows)], _MATCH), marks(rows)
-            yield _batch([*out, *m.dealt(_bucket(m.d, m.h, n), MATCH), *k.dealt(_bucket(k.d, k.h, n), MARK)])
+            yield from told.add(MATCH, Records.join([m, meet(rows)], _MATCH))
+            yield from told.add(MARK, marks(rows))
+            yield _batch(out)
+        yield from told.flush()
 
     def by_document(batches):
+        told = Outbox(n)
         for part in base.by_bucket(batches):
             got, out = [], []
             for b in part:
@@ -474,8 +488,9 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
             f = interval_join(Records.join(got, _MATCH))
             pid = base.mix(base.mix(base.mix((f.d ^ f.h).view("<u8")) + f.s) ^ base.mix((f.d0 ^ f.h0).view("<u8") + np.uint64(77) + f.s0))
             two = [Records(pid=pid, side=np.full(len(f), side, "u1"), d=d, h=h, p=p, n=m) for side, d, h, p, m in ((0, f.d0, f.h0, f.s0, f.n0), (1, f.d, f.h, f.s, f.n))]
-            asks = Records.join(two, _ASK)
-            yield _batch([*out, *asks.dealt(_bucket(asks.d, asks.h, n), ASK)])
+            yield from told.add(ASK, Records.join(two, _ASK))
+            yield _batch(out)
+        yield from told.flush()
 
     def fetch(batches):
         for part in base.by_bucket(batches):
@@ -543,7 +558,7 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
             for c in base.chunks(texts, "x"):
                 d, h = np.asarray(c.column(3)), np.asarray(c.column(4))
                 mine = [of_document(got[MARK], int(d[i]), int(h[i])) for i in range(c.num_rows)]
-                some = [i for i, r in enumerate(mine) if len(r)]
+                some = [i for i, r in enumerate(mine) if len(r) and got[MARK].size[r].any()]
                 if not some:
                     continue
                 _, r, content = open_windows(*base.text_buffers(c.column(5).take(pa.array(some))), [got[MARK].take(mine[i]) for i in some], [known(int(d[i]), int(h[i])) for i in some])
@@ -557,6 +572,7 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
                 yield _batch(out)
 
     def by_value_again(batches):
+        told = Outbox(n)
         for part in base.by_bucket(batches):
             rs, contents = [], []
             for b in part:
@@ -572,8 +588,8 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
             at = np.cumsum(size) - size
             for k in range(slices):
                 i = np.flatnonzero(piece == k)
-                m = settle(r.take(i), content[ragged(at[i], size[i])])
-                yield _batch(m.dealt(_bucket(m.d, m.h, n), MATCH))
+                yield from told.add(MATCH, settle(r.take(i), content[ragged(at[i], size[i])]))
+        yield from told.flush()
 
     def verified(asks, tag):
         told = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)

@@ -354,6 +354,29 @@ def by_kind(part, kinds: dict[int, dict]):
     return {k: r.take(np.lexsort((r.h, r.d))) for k, r in joined.items()}, texts
 
 
+class Outbox:
+    """Records on their way to the buckets of their documents: held until there are enough, so that blobs are few."""
+
+    def __init__(self, n: int, limit: int = HELD // 4) -> None:
+        self.n, self.limit, self.held, self.count = n, limit, {}, 0
+
+    def add(self, kind: int, r: Records):
+        if len(r):
+            self.held.setdefault(kind, []).append(r)
+            self.count += len(r)
+        if self.count >= self.limit:
+            yield from self.flush()
+
+    def flush(self):
+        rows = []
+        for kind, parts in self.held.items():
+            r = Records.join(parts, dict.fromkeys(parts[0].cols))
+            rows += r.dealt(_bucket(r.d, r.h, self.n), kind)
+        self.held, self.count = {}, 0
+        if rows:
+            yield _batch(rows)
+
+
 def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
     """Blobs of runs (kind RUN) dealt to ``n`` buckets of documents, for ``docs`` (d, h, x)."""
 
@@ -381,6 +404,7 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
         yield flush()
 
     def by_gram(batches):
+        told = Outbox(n)
         for part in base.by_bucket(batches):
             got, out = [], []
             for b in part:
@@ -392,8 +416,10 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
             firsts, runs = split_repeats(Records.join(got, _ANCHOR))
             asked = several_contexts(firsts)
             asked = Records(**{c: asked.cols[c] for c in _ASK})
-            runs = unite(runs)
-            yield _batch([*out, *runs.dealt(_bucket(runs.d, runs.h, n), RUN), *asked.dealt(_bucket(asked.d, asked.h, n), ASK)])
+            yield from told.add(RUN, unite(runs))
+            yield from told.add(ASK, asked)
+            yield _batch(out)
+        yield from told.flush()
 
     def fetch(batches):
         for part in base.by_bucket(batches):
@@ -428,6 +454,7 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
         return _batch(rows)
 
     def compare(batches):
+        told = Outbox(n)
         for part in base.by_bucket(batches):
             rs, datas = [], []
             for b in part:
@@ -436,8 +463,8 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
                     rs.append(r)
                     datas.append(np.frombuffer(blob, np.uint8, int(_size(r).sum()), len(r.pack())))
             r = Records.join(rs, _ASK)
-            runs = unite(compare_contexts(r, np.concatenate(datas), np.cumsum(_size(r)) - _size(r)))
-            yield _batch(runs.dealt(_bucket(runs.d, runs.h, n), RUN))
+            yield from told.add(RUN, unite(compare_contexts(r, np.concatenate(datas), np.cumsum(_size(r)) - _size(r))))
+        yield from told.flush()
 
     known = base.stash(dealt(docs.select("d", "h", "x").mapInArrow(scan, _BLOBS)).mapInArrow(by_gram, _BLOBS), "runs")
     asks = known.where(F.col("kind") == ASK)
