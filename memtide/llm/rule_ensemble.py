@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import base, line_rules
 
-#: The labelled rows that are learnt from, about: those whose ids' hashes lie under a threshold set by their number.
+#: The labelled rows that are learnt from, about, at most: those whose ids' hashes lie under a threshold set by their number.
 MAX_TRAIN = 20_000
 TREES, DEPTH, BINS, MIN_LEAF = 40, 3, 32, 20
 LASSO, STEPS = 0.002, 400
@@ -205,28 +205,34 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", limit: int = MAX_TRAIN) -> RuleModel:
-    """Fit on about ``limit`` labelled rows at most that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_TRAIN) -> DataFrame:
+    """(key, label, FEATURES) of about ``limit`` labelled documents that are not held out, in no order.
 
-    A doc labelled twice counts with its larger label, rows of repeated documents once; null labels are none.
-    Both joins move ids and numbers only.
+    A document labelled twice counts with its larger label; null labels and null ids are none.  Of rows that share an id the
+    one with the least statistics is learnt from.  The ids that are looked for are bounded by ``limit``, so they are broadcast.
     """
-    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("__y"))
+    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
     n = known.count()
-    if n > limit:  # of the ids by hash only about the rows wanted go on, so that no task sends more to be sorted
-        known = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * limit / n))
-    rows = known.join(stats.select(key, *FEATURES).dropDuplicates([key]), key).toPandas()
-    rows = rows.sort_values(key).head(2 * limit)
+    if n > limit:
+        known = known.where(F.pmod(F.xxhash64("__k"), F.lit(1 << 30)) < int((1 << 30) * limit / n))
+    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__x")).join(F.broadcast(known), "__k")
+    stats = text_statistics(rows, "__k", "__x", ("__y",))
+    return stats.groupBy("__k", "__y").agg(F.min(F.struct(*FEATURES)).alias("x")).select("__k", "__y", "x.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_TRAIN) -> RuleModel:
+    """Fit on the training rows: only those documents' statistics are computed, and some MB of them come to the driver."""
+    rows = training_rows(docs, labels, key, text, label, limit).toPandas().sort_values("__k")
     return fit(rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["__y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Score every row: (key, *keep, FEATURES, held_out, score, predicted).
+    """Score every row: (key, *keep, FEATURES, held_out, score, predicted).  One pass, no shuffle of the documents.
 
-    Null and empty texts have all statistics 0 and are scored like any other; repeated rows are scored each;
-    without labels every score is 0.5; an empty table gives an empty result.
+    Null and empty texts have all statistics 0 and are scored like any other; repeated rows are scored each; a score at
+    the threshold passes; a very long text is one chunk of its task.  Without labels every score is 0.5; an empty table
+    gives an empty result.  Columns other than ``keep`` are not read; those may have no name of FEATURES.
     """
-    stats = base.stash(text_statistics(docs, key, text, keep), "statistics")
-    model = train(stats, labels, key)
-    scored = stats.withColumn("held_out", held_out(F.col(key))).withColumn("score", model.column())
+    model = train(docs, labels, key, text)
+    scored = text_statistics(docs, key, text, keep).withColumn("held_out", held_out(F.col(key))).withColumn("score", model.column())
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
