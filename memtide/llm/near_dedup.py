@@ -181,21 +181,22 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # each group's hub is its member that shares most bands with most others: of edited copies, the original
     degree = members.groupBy("node").agg(F.sum(F.col("n") * F.col("same")).alias("degree"))
     ranked = members.join(degree, "node")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("hub"))
+    # written tables on both sides of the joins that follow, so that a hot band's rows can be split over tasks
+    hubs = base.stash(ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top")).select("band", F.col("top.node").alias("hub")), "hubs")
     stars = base.stash(members.join(hubs, "band").where("node <> hub").select("hub", "node").distinct(), "stars")
     links = base.stash(_verify_stars(docs, texts, stars, idf), "links")
     label = graph.components(links)
 
     # groups that the hubs' links left in several classes: all pairs between classes, in blocks
-    comp = members.join(label, "node", "left").select("band", "n", "node", F.coalesce("label", "node").alias("label"))
-    open_ = comp.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    rest = base.stash(comp.where("n > 2").join(open_, "band"), "open")
+    comp = members.where("n > 2").join(label, "node", "left").select("band", "n", "node", F.coalesce("label", "node").alias("label"))
+    open_ = base.stash(comp.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "open-bands")
+    rest = base.stash(comp.join(open_, "band"), "open")
     if rest.limit(1).count():
         links = base.stash(links.union(_verify_blocks(docs, texts, rest, idf)), "links")
         label = graph.components(links)
 
     owned = texts.select("node", "first", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = owned.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")).select("label", F.col("best.first").alias("class_id"), F.col("best.node").alias("class_node"))
+    best = base.stash(owned.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")).select("label", F.col("best.first").alias("class_id"), F.col("best.node").alias("class_node")), "best")
     return base.stash(owned.join(best, "label").select("node", "first", "copies", "class_id", "class_node"), "classes")
 
 
@@ -279,19 +280,25 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     ``class_id`` is the smallest id of the class, ``class_size`` its rows, ``n_copies`` the rows with the very same text.
     Null texts are empty texts; texts without words are near nothing but equal texts; a text of fewer than five words
-    is one shingle.  Repeated rows are copies.  A null id is larger than any other.  An empty table gives an empty result.
+    is one shingle; a very long text is one bag of a task.  Repeated rows are copies.  A null id is larger than any other; of
+    classes' rows with the smallest id the text of least hash counts.  An empty table gives an empty result; other columns
+    are not read, whatever their names.
     """
     classes = near_classes(docs, key, text)
-    size = classes.groupBy("class_node").agg(F.sum("copies").alias("class_size"))
+    size = base.stash(classes.groupBy("class_node").agg(F.sum("copies").alias("class_size")), "sizes")
     info = classes.join(size, "class_node").select("node", "class_id", "class_size", F.col("copies").alias("n_copies"))
     rows = docs.select(F.col(key), node(F.coalesce(F.col(text), F.lit(""))).alias("node"))
-    return rows.join(info, "node").select(key, "class_id", "class_size", "n_copies")
+    return rows.join(base.stash(info, "infos"), "node").select(key, "class_id", "class_size", "n_copies")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the row with the smallest id, all columns untouched."""
+    """The rows of ``docs`` that stay: of each class the row with the smallest id, all columns untouched.
+
+    Texts and ids count as in ``near_dedup``.  Of rows equal in both, whose other columns may differ, one stays, no matter which.
+    Texts move once, dealt by text and id, so that a text that very many rows have is spread over the tasks.
+    """
     classes = near_classes(docs, key, text)
-    stay = classes.where(F.col("node") == F.col("class_node")).select(F.col("node").alias("__n"), F.col("first").alias("__k"))
-    rows = docs.withColumn("__node", node(F.coalesce(F.col(text), F.lit(""))))
-    kept = rows.join(stay, (F.col("__node") == F.col("__n")) & F.col(key).eqNullSafe(F.col("__k")), "left_semi")
-    return kept.dropDuplicates(["__node"]).drop("__node")
+    known = lambda c: (F.col(c).isNull().alias("__none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__key"))
+    stay = base.stash(classes.where(F.col("node") == F.col("class_node")).select(F.col("node").alias("__node"), *known("first")), "stay")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), node(F.coalesce(F.col(text), F.lit(""))).alias("__node"), *known(key))
+    return rows.join(stay, ["__node", "__none", "__key"], "left_semi").dropDuplicates(["__node", "__none", "__key"]).select("__row.*")
