@@ -1,10 +1,14 @@
-"""Licence scan: statements by TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
-
-Every line of a whole text is a sparse TF-IDF vector; one that is close enough to
-a template is a statement of that licence.  A file that consists mostly of
-statements, or is named like one, is the licence file of its directory; a file
-without a statement of its own has the licence of the nearest ancestor directory
-that has a licence file, found by joining directories' ancestor paths.
+"""Licence scan: headers, statements and licence files by TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
+
+Templates are whole licences, openings of long ones, headers and statements.  A
+text's runs of three words are looked up among the templates' own; runs that
+agree on where a template would lie name a block of that template's length, and
+the block's sparse TF-IDF vector is compared with the template's.  Where the
+wording is alike, phrases that a template must have (a version, above all)
+decide.  A file that consists mostly of such blocks, starts with a licence's own
+text or is named like one is the licence file of its directory; a file without a
+licence of its own has that of the nearest ancestor directory that has a licence
+file, found by joining directories' ancestor paths.
 """
 
 from __future__ import annotations
@@ -17,127 +21,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
+from .licence_texts import Template, templates
+from .near_dedup import _word_features, word_idf
 
-# Short statements by which licences are known.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("LicenseRef-reserved", "All rights reserved."),
-)
 LICENCE_FILE = re.compile(r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$")
 
 SIMILARITY = 0.7
-#: A file is a licence file if statements are this part of its words.
-MOSTLY = 0.5
+#: Words of a run; the part of a template's runs that a block shares before it is compared; how far runs' places may drift.
+RUN, SHARE, DRIFT = 3, 0.2, 8
+#: A file is a licence file if blocks are this part of its words, or if a licence's own text starts within its first words.
+MOSTLY, TOP = 0.5, 60
+#: Words beside a block in which the phrases that decide may stand.
+BESIDE = 4
 
 
-def terms(text: str) -> list[bytes]:
+def word_hashes(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     s, e, _ = base.words(data, np.array([0, len(data)]))
-    low = base.ALNUM[data].tobytes()
-    return [low[a:b] for a, b in zip(s, e, strict=True)]
-
-
-def _vocabulary() -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(terms of the templates, their word hashes sorted, the term of each)."""
-    v = sorted({t for _, x in TEMPLATES for t in terms(x)})
-    data, off = np.frombuffer(b" ".join(v), np.uint8), None
-    off = np.array([0, len(data)])
-    s, e, _ = base.words(data, off)
-    h = base.word_hashes(data, s, e)
-    order = np.argsort(h)
-    return v, h[order], order
-
-
-def _term_of(h: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    return np.where(hashes[at] == h, order[at], -1)
-
-
-def term_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """idf of the templates' terms over all rows; the last number is that of a term no template has (as rare as can be)."""
-    v, hashes, order = _vocabulary()
-    n = len(v)
-
-    def count(batches):
-        total = np.zeros(n + 1, np.int64)
-        for b in base.chunks(batches, text):
-            data, off = base.text_buffers(b.column(0))
-            s, e, first = base.words(data, off)
-            t = _term_of(base.word_hashes(data, s, e), hashes, order)
-            doc = base.doc_of(first)[t >= 0]
-            seen = base.distinct(doc * n + t[t >= 0]) % n
-            total[:n] += np.bincount(seen, minlength=n)
-            total[n] += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(range(n + 1), pa.int32()), pa.array(total)], names=["term", "c"])
-
-    rows = docs.select(text).mapInArrow(count, "term int, c long").groupBy("term").agg(F.sum("c").alias("c")).collect()  # one row per term of the templates
-    df = np.zeros(n + 1)
-    for r in rows:
-        df[r["term"]] = r["c"]
-    docs_n, df[n] = df[n], 0
-    return np.log((1 + docs_n) / (1 + df)) + 1
-
-
-def statements(files: DataFrame, idf: np.ndarray, path: str, text: str, keep: tuple[str, ...] = (), similarity: float = SIMILARITY) -> DataFrame:
-    """(keep..., path, license, similarity, licenses, is_licence_file) per row; license is null where no line is a statement.
-
-    Of a file's statements the most similar names its licence, of equal ones the first template's.
+    return base.word_hashes(data, s, e)
+
+
+def vector(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words ascending, tf x idf weights of length 1)."""
+    u, tf = np.unique(h, return_counts=True)
+    w = tf * idf[_word_features(u)].astype(np.float64)
+    return u, w / max(np.sqrt((w * w).sum()), 1e-12)
+
+
+def cosine(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    return round(float((a[1][hit] * b[1][at[hit]]).sum()), 6)
+
+
+def _has(words: np.ndarray, phrase: np.ndarray) -> bool:
+    """Whether the words stand in a row somewhere."""
+    raw, part, at = words.tobytes(), phrase.tobytes(), -1
+    while (at := raw.find(part, at + 1)) >= 0:
+        if at % 8 == 0:
+            return True
+    return False
+
+
+class Index:
+    """Templates by their runs of words, with their vectors under an idf."""
+
+    def __init__(self, known: list[Template], idf: np.ndarray) -> None:
+        self.known = known
+        words = [word_hashes(t.text) for t in known]
+        self.size = np.array([len(w) for w in words])
+        self.vectors = [vector(w, idf) for w in words]
+        self.must = [[[word_hashes(p) for p in group] for group in t.must] for t in known]
+        runs = [base.shingles(w, np.array([0, len(w)]), RUN)[0] for w in words]
+        self.need = np.array([max(1, int(np.ceil(SHARE * len(r)))) for r in runs])
+        run, of = np.concatenate(runs), np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        place = np.concatenate([np.arange(len(r)) for r in runs])
+        order = np.argsort(run, kind="stable")
+        self.run, self.of, self.place = run[order], of[order], place[order]
+
+    def blocks(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(text, template, first word, one past the last) of blocks that share enough runs with a template."""
+        sh, at, begin = base.shingles(h, first, RUN)
+        lo, hi = np.searchsorted(self.run, sh), np.searchsorted(self.run, sh, side="right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return np.zeros((0, 4), np.int64)
+        n = (hi - lo)[hit]
+        k = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        doc = np.repeat(np.searchsorted(begin, hit, side="right") - 1, n)
+        t, start = self.of[k], np.repeat(at[hit], n) - self.place[k]
+        order = np.lexsort((start, t, doc))
+        doc, t, start = doc[order], t[order], start[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (start[1:] - start[:-1] > DRIFT)
+        top = np.flatnonzero(new)
+        votes = np.diff(np.concatenate([top, [len(doc)]]))
+        ok = votes >= self.need[t[top]]
+        top, votes = top[ok], votes[ok]
+        doc, t, middle = doc[top], t[top], start[top + votes // 2]
+        a = np.maximum(middle, first[doc])
+        z = np.minimum(middle + self.size[t], first[doc + 1])
+        return np.column_stack([doc, t, a, z])[z > a]
+
+    def matches(self, h: np.ndarray, first: np.ndarray, idf: np.ndarray, similarity: float) -> dict[int, list]:
+        """Of each text its matches (words x similarity, -template, similarity, first word, one past the last), the best of those that overlap."""
+        found: dict[int, list] = {}
+        for doc, t, a, z in self.blocks(h, first).tolist():
+            cos = cosine(vector(h[a:z], idf), self.vectors[t])
+            if cos < similarity:
+                continue
+            near = h[max(a - BESIDE, first[doc]) : min(z + BESIDE, first[doc + 1])]
+            if all(any(_has(near, p) for p in group) for group in self.must[t]):
+                found.setdefault(doc, []).append((round(cos * (z - a), 6), -t, cos, a, z))
+        for doc, m in found.items():
+            kept: list = []
+            for x in sorted(m, reverse=True):
+                if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+                    kept.append(x)
+            found[doc] = kept
+        return found
+
+
+def statements(files: DataFrame, idf: np.ndarray, path: str, text: str, keep: tuple[str, ...] = (), similarity: float = SIMILARITY, known: list[Template] | None = None) -> DataFrame:
+    """(keep..., path, license, similarity, licenses, is_licence_file) per row; license is null where no block is like a template.
+
+    Of a file's matches the one of most words times similarity names its licence, of equal ones the first template's.
     """
-    v, hashes, order = _vocabulary()
-    index = {t: i for i, t in enumerate(v)}
-    m = np.zeros((len(TEMPLATES), len(v)))
-    for k, (_, x) in enumerate(TEMPLATES):
-        for t in terms(x):
-            m[k, index[t]] += 1
-    m *= idf[:-1]
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    shared = files.sparkSession.sparkContext.broadcast((idf, Index(known if known is not None else templates(), idf)))
 
     def scan(batches):
+        idf, index = shared.value
         for b in base.chunks(batches, text):
             data, off = base.text_buffers(b.column(0))
             s, e, first = base.words(data, off)
-            h = base.word_hashes(data, s, e)
-            t = _term_of(h, hashes, order)
-            # lines: those of each text and after every line feed
-            lines = base.distinct(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
-            line = np.searchsorted(lines, s, side="right") - 1
-            doc = np.searchsorted(off, s, side="right") - 1
-            known = np.bincount(line, t >= 0, len(lines))
-            some = np.flatnonzero(known >= 2)
-            lo, hi = np.searchsorted(line, some), np.searchsorted(line, some, side="right")
-            words_n, stated = np.diff(first), np.zeros(b.num_rows, np.int64)
-            best: list = [None] * b.num_rows
-            names: list = [set() for _ in range(b.num_rows)]
-            for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-                if 3 * (t[a:z] >= 0).sum() < z - a:
-                    continue
-                x = np.bincount(t[a:z][t[a:z] >= 0], minlength=len(v)) * idf[:-1]
-                # words that no template has count by their own numbers, as rare terms
-                other = np.unique(h[a:z][t[a:z] < 0], return_counts=True)[1] * idf[-1]
-                norm = np.sqrt((x * x).sum() + (other * other).sum())
-                cos = np.round(m @ x / norm, 6)
-                k = int(cos.argmax())
-                if cos[k] >= similarity:
-                    i = int(doc[a])
-                    stated[i] += z - a
-                    names[i].add(TEMPLATES[k][0])
-                    if best[i] is None or (cos[k], -k) > best[i]:
-                        best[i] = (float(cos[k]), -k)
-            named = [bool(p and LICENCE_FILE.search(p)) for p in b.column(1).to_pylist()]
-            whole = [bool(x) and (n or y >= MOSTLY * w) for x, n, y, w in zip(best, named, stated.tolist(), words_n.tolist(), strict=True)]
+            found = index.matches(base.word_hashes(data, s, e), first, idf, similarity)
+            best, cos, names, own = [], [], [], []
+            for i, p in enumerate(b.column(1).to_pylist()):
+                m = found.get(i)
+                best.append(m and index.known[-m[0][1]].license)
+                cos.append(m and m[0][2])
+                names.append(sorted({index.known[-x[1]].license for x in m}) if m else [])
+                said = sum(x[4] - x[3] for x in m) if m else 0
+                begins = bool(m) and any(index.known[-x[1]].whole and x[3] - first[i] <= TOP for x in m)
+                own.append(bool(m) and (begins or said >= MOSTLY * (first[i + 1] - first[i]) or bool(p and LICENCE_FILE.search(p))))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[2:], b.column(1), pa.array([x and TEMPLATES[-x[1]][0] for x in best], pa.string()), pa.array([x and x[0] for x in best], pa.float64()), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(whole)],
+                [*b.columns[2:], b.column(1), pa.array(best, pa.string()), pa.array(cos, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array([bool(x) for x in own])],
                 names=[*keep, "path", "license", "similarity", "licenses", "is_licence_file"],
             )
 
@@ -179,13 +187,13 @@ def inherit(stated: DataFrame) -> DataFrame:
 
 
 def license_scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``files``: statements of its own, then what it inherits.
+    """One row per row of ``files``: licences of its own, then what it inherits.
 
-    Null and empty texts state nothing and may inherit; a null path is a file at the top.  Repeated rows are judged each;
-    an empty table gives an empty result; columns other than ``keep`` are not read.
+    idf is of all words over all rows, in a table of fixed size.  Null and empty texts state nothing and may inherit; a null
+    path is a file at the top; a very long text is scanned whole.  Repeated rows are judged each; an empty table gives an
+    empty result; columns other than ``keep``, whose names must not be the result's own, are not read.
     """
-    idf = term_idf(files, text)
-    return inherit(base.stash(statements(files, idf, path, text, keep), "statements"))
+    return inherit(base.stash(statements(files, word_idf(files, text), path, text, keep), "statements"))
 
 
 def document_path(source: Column, doc_id: Column) -> Column:
