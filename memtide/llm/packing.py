@@ -8,6 +8,7 @@ which a segment tree over remaining capacities finds.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 
@@ -37,19 +38,43 @@ _LETTER = _byte_letters()
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
+#: The pipeline of vocabularies that are encoded chunk by chunk: white space is dropped, letters are lower-cased, words get an end.
+CHUNKED = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def by_chunks(path: str) -> bool:
+    """Whether a vocabulary file describes the pipeline that Encoder's chunks rest on."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    norm, pre = (j.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    split = (pre.get("pretokenizers") or [{}])[0]
+    return (
+        [x.get("type") for x in norm.get("normalizers", [])] == CHUNKED["normalizer"]
+        and [x.get("type") for x in pre.get("pretokenizers", [])] == CHUNKED["pre_tokenizer"]
+        and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": CHUNKED["pattern"]}, "Removed", True)
+        and j["model"].get("end_of_word_suffix") is not None
+    )
+
+
 class Encoder:
     """Token ids of whole texts by their chunks between blanks.
 
-    The vocabulary's splitting pattern never joins characters across white space and its normaliser
+    A CHUNKED vocabulary's splitting pattern never joins characters across white space and its normaliser
     keeps blanks and line feeds apart from their neighbours, so a text's ids are its chunks' ids in
     order; each distinct chunk is encoded once and texts are gathered from the table.  A chunk of
     letters and signs goes to the merge model at once, any other through the whole tokenizer.
+    Under any other vocabulary whole texts go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = by_chunks(path)
         self.model = self.tokenizer.model
         self.signs: dict[str, list[int]] = {}
         self.index = {"\n": 0}  # no chunk holds a line feed: this one stands for the end of a text
@@ -83,6 +108,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each with END_ID; bounds of the texts)."""
+        if not self.chunked:
+            got = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            bound = np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)]).astype(np.int64)
+            return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(bound[-1])), bound
         parts, count = [], []
         for t in texts:
             p = t.replace("\n", " ").split(" ")
