@@ -26,9 +26,12 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MIN_REVISIT = 100
-#: Payload bytes gathered for one archive, the size of its dictionary, and the bytes of records that it is built from.
-ARCHIVE_BYTES, DICT_BYTES, SAMPLE_BYTES = 12 << 20, 32 << 10, 4 << 20
+#: Payload bytes gathered for one archive, the size of its dictionary, and what it is trained on: evenly spaced records of
+#: the archive up to so many bytes, of each so many bytes at most.  Records themselves are always written whole.
+ARCHIVE_BYTES, DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORD = 12 << 20, 32 << 10, 4 << 20, 128 << 10
 LEVEL = 3
+#: Archives that a reading task takes.
+READ_ARCHIVES = 16
 
 
 def _record_id(page, digest: str) -> str:
@@ -58,13 +61,10 @@ def record(page, url, payload: bytes, digest: str, refers, date: str) -> bytes:
 
 
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary trained on the first records up to SAMPLE_BYTES; of too few records, their raw bytes."""
-    sample, size = [], 0
-    for r in records:
-        sample.append(r[:131072])
-        size += len(sample[-1])
-        if size > SAMPLE_BYTES:
-            break
+    """A dictionary trained on a bounded sample of the records; of too few, their raw bytes."""
+    weight = sum(min(len(r), SAMPLE_RECORD) for r in records)
+    sample = [r[:SAMPLE_RECORD] for r in records[:: -(-weight // SAMPLE_BYTES) or 1]]
+    size = sum(map(len, sample))
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(256, size // 8)), sample, k=256, d=8, f=20)
     except zstandard.ZstdError:
@@ -121,15 +121,15 @@ def _open(uri: str):
 def write_archives(pages: DataFrame, key: str = "page_id", url: str | None = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write one record per row to archives in the shared folder; return their list (path, records, bytes).
 
-    A null payload is empty, a null id or URL leaves its header out.  Of rows with equal payloads of
+    A null payload is empty, a very long one is one record of its archive, a null id or URL leaves its header out.  Of rows with equal payloads of
     at least MIN_REVISIT bytes the smallest id is the response; rows that repeat that id as well are responses too.
     The list names only files of tasks that ended well, so files of lost executors' attempts are never read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).alias("k"), (F.col(url) if url else F.lit(None).cast("string")).alias("u"), F.coalesce(F.col(payload), F.lit("")).alias("p")).withColumn("digest", F.sha2(F.col("p"), 256))
     keys = base.stash(rows.where(F.octet_length("p") >= MIN_REVISIT).select("k", "digest"), "digests")
-    firsts = keys.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # ids, not bodies, meet the hot digests; a body is only joined by its own id
+    firsts = base.stash(keys.groupBy("digest").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    # ids, not bodies, meet the hot digests, from written tables, so a hot one's rows can be split; a body is joined by its own id
     revisit = keys.join(firsts, "digest").where(~F.col("k").eqNullSafe(F.col("first")) & F.col("first").isNotNull()).select(F.col("k").alias("rk"), F.col("digest").alias("rd"), "first").distinct()
     joined = rows.join(revisit, rows["k"].eqNullSafe(revisit["rk"]) & (rows["digest"] == revisit["rd"]), "left").select("k", "u", "p", "digest", "first")
     folder = base.fresh_path(spark, "warc")
@@ -186,10 +186,17 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         rows.append((h.get("X-Page"), size, stated if revisit else hashlib.sha256(body).hexdigest(), h["WARC-Type"], h.get("X-Refers-To-Page"), stated))
                 yield pa.RecordBatch.from_pylist([dict(zip(_COLS, r, strict=True)) for r in rows], schema=_SCHEMA)
 
-    n = max(1, archives.count())
+    n = archives.count()
+    n = max(1, min(n, max(base.partitions_for(archives), n // READ_ARCHIVES)))
     return archives.select("path").repartition(n).mapInArrow(read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, stated_digest string")
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Of what was read the revisits whose response, by page and digest and size, is not there."""
+    there = records.where("record_type = 'response'").select(F.col("page").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return records.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
 _COLS = ("page", "payload_bytes", "payload_digest", "record_type", "refers_to", "stated_digest")
 _SCHEMA = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in _COLS])
 
