@@ -1,7 +1,7 @@
 """URL filters over a sorted digest array.
 
 Every rule is a string ``host/path``; its 64-bit xxhash is a key of one sorted
-array which workers memory-map.  A URL probes with the digests of all pairs
+array, a file in the shared folder which workers memory-map.  A URL probes with the digests of all pairs
 (suffix of its host, prefix of its path as long as some rule's path) in one
 vectorised binary search per batch, and every hit is confirmed against the
 stored full string, so a digest collision cannot decide anything.
@@ -9,9 +9,8 @@ stored full string, so a digest collision cannot decide anything.
 
 from __future__ import annotations
 
-import os
+import functools
 import re
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What a rule list may weigh to travel with the tasks; a longer list is read from the shared folder's table instead.
-SHIP_BYTES = 64 << 20
+from . import base
 
 
 @dataclass(frozen=True)
@@ -63,15 +61,15 @@ class DigestArray:
         )
 
     @classmethod
-    def mapped(cls, packed: bytes) -> DigestArray:
-        """Memory-map the array from a file private to this worker machine, named by its content and put there by one rename."""
-        path = os.path.join(tempfile.gettempdir(), f"digests-{xxhash.xxh3_128_hexdigest(packed)}")
-        if not os.path.exists(path):
-            fd, tmp = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(fd, "wb") as f:
-                f.write(packed)
-            os.replace(tmp, path)
-        return cls(np.memmap(path, np.uint8, "r"))
+    def opened(cls, uri: str) -> DigestArray:
+        """The array of a file: memory-mapped where the folder is a mounted one, read from other stores."""
+        if uri.startswith("file:"):
+            return cls(np.memmap(re.sub("^file:/*", "/", uri), np.uint8, "r"))
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            return cls(f.read_buffer())
 
     def string(self, i: int) -> bytes:
         return bytes(self.blob[int(self.offsets[i]) : int(self.offsets[i + 1])])
@@ -93,6 +91,11 @@ class DigestArray:
         return got
 
 
+@functools.cache
+def _opened(uri: str) -> DigestArray:
+    return DigestArray.opened(uri)
+
+
 _URL = re.compile(r"(?s).*?://([^/?#]*)([^?#]*)")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -107,15 +110,20 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", key:
 
     Null URLs and such without ``://`` have empty host and path and get ``default``.
     Of several fitting rules the longest string wins, then the longer host.  Repeated rows
-    are judged each; an empty table gives an empty result; other columns are not read.
+    are judged each; very long URLs are tried whole; an empty table gives an empty result; other columns are not read.
+    Only the file's name and the paths' lengths travel with the tasks, however long the list.
     """
-    packed = DigestArray.pack(rules)
-    if len(packed) > SHIP_BYTES:
-        raise ValueError("rule list beyond SHIP_BYTES: split it and filter in passes")
+    from pyarrow import fs
+
+    uri = base.fresh_path(pages.sparkSession, "digests")
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as f:
+        f.write(DigestArray.pack(rules))
     lengths = sorted({len(r.path) for r in rules}, reverse=True)
 
     def judge(batches):
-        index = DigestArray.mapped(packed)
+        index = _opened(uri)
         for b in batches:
             hosts, paths, tries, owner = [], [], [], []
             for i, u in enumerate(b.column(1).to_pylist()):
