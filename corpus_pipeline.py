@@ -1,6 +1,10 @@
 """Five stages over ``documents``: each keeps, merges or cuts what its predecessor kept, is written and reread.
 
 Stages take (spark, docs, sf_dir) and return all columns of ``documents``; the last one returns the packed pieces.
+
+All take null texts for empty ones and keep them (a null text stays null), take rows that share an id but no text for
+different documents, and give no rows for none.  Null ids are documents like others, after all others where ids are ordered.
+Very long texts are handled whole.  Columns besides doc_id and text, whatever their names, go along untouched.
 """
 
 from __future__ import annotations
@@ -10,18 +14,13 @@ from pyspark.sql import functions as F
 
 
 def quality(spark, docs, sf_dir):
-    """Rejected documents go: those that the rule ensemble scores under its threshold.
-
-    The decision belongs to a row, so scored rows and documents meet by id and text hash; null ids meet too.
-    """
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    scored = rule_ensemble.classify(rows, base.table(spark, sf_dir, "labels"), keep=("__h",))
-    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("__i"), F.col("__h").alias("__b")).distinct()
-    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["__i"]) & (rows["__h"] == bad["__b"]), "left_anti").drop("__h")
+    """Documents that the rule ensemble scores under its threshold go; each row carries its score, so nothing is shuffled."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return rule_ensemble.classify(rows, base.table(spark, sf_dir, "labels"), keep=("row",)).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each class of near-duplicate documents the one with the smallest id stays."""
+    """Of each class of near-duplicate documents the one with the smallest id stays; of rows equal in id and text one."""
     return near_dedup.keep_first(docs)
 
 
