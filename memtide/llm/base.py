@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a Python worker; one longer text makes a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: Estimated bytes of input whose records are dealt to one bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ WINDOW, MATCH, ASK, MARK, OPEN = 1, 2, 3, 4, 5
 _WINDOW = {"v": "<u8", "x": "<u4", "y": "<u4", "z": "<u4", "w": "<u8", "k": "u1", "d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1"}
 #: g: how many functions a match counts for; that of two windows with equal content counts for all that are needed.
 _MATCH = {"d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1", "d0": "<i8", "h0": "<i8", "p0": "<u4", "g": "u1"}
-_MARK = {"d": "<i8", "h": "<i8", "k": "u1", "p": "<u4", "first": "u1", "size": "<u4"}
+_MARK = {"d": "<i8", "h": "<i8", "k": "u1", "p": "<u4", "L": "u1", "R": "u1", "first": "u1", "size": "<u4"}
 #: A window for the exact pass: place of its first start, shingles, the starts still open (first, one past the last), whether it stands for its content.
 _OPEN = {"v": "<u8", "block": "<u4", "d": "<i8", "h": "<i8", "p": "<u4", "s": "<u4", "n": "u1", "lo": "u1", "hi": "u1", "first": "u1"}
 _ASK = {"pid": "<u8", "side": "u1", "d": "<i8", "h": "<i8", "p": "<u4", "n": "<u4"}
@@ -189,7 +189,7 @@ def marks(rows: Records) -> Records:
     other = (r.d != r.d[top[group]]) | (r.h != r.h[top[group]])
     i = np.flatnonzero(np.logical_or.reduceat(other, top)[group])
     i = i[np.lexsort((r.p[i], r.k[i], r.h[i], r.d[i]))]
-    return Records(d=r.d[i], h=r.h[i], k=r.k[i], p=r.p[i], first=first[i].astype("u1"), size=firsts[group[i]].astype("<u4"))
+    return Records(d=r.d[i], h=r.h[i], k=r.k[i], p=r.p[i], L=r.L[i], R=r.R[i], first=first[i].astype("u1"), size=firsts[group[i]].astype("<u4"))
 
 
 def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -214,21 +214,15 @@ def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: l
     held = np.concatenate([[0], np.cumsum(np.cumsum(held[:n]) > 0)])
     doc = np.repeat(np.arange(len(mark)), [len(m) for m in mark])
     m = Records.join(mark, _MARK)
-    at = begin[doc] + m.p
+    node = begin[doc] + m.p
+    first_start, last_start = node - m.L, node - m.R
     of_start = np.full((HASHES, n), -1, np.int64)
     got = []
     for k in range(HASHES):
-        value = base.mix(sh * _ODD[k])
-        node, p0, p1 = cartesian_windows((value & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), begin, WIDTH)
         mine = np.flatnonzero(m.k == k)
-        if not len(mine) or not len(node):
-            continue
-        order = np.argsort(node)
-        i = order[np.searchsorted(node, at[mine], sorter=order)]
-        of_start[k, ragged(p0[i], p1[i] - p0[i] + 1)] = np.repeat(m.size[mine], p1[i] - p0[i] + 1)
-        got.append((k, mine, base.mix(value[node[i]] + np.uint64(k)), p0[i], p1[i]))
-    if not got:
-        return doc[:0], Records.join([], _OPEN), np.zeros(0, "<u2")
+        p0, p1 = first_start[mine], last_start[mine]
+        of_start[k, ragged(p0, p1 - p0 + 1)] = np.repeat(m.size[mine], p1 - p0 + 1)
+        got.append((k, mine, base.mix(base.mix(sh[node[mine]] * _ODD[k]) + np.uint64(k)), p0, p1))
     marked, many = (of_start >= 0).sum(0), (of_start > 0).sum(0)
     enough = (marked >= AGREE) & (many > 0)
     some = np.concatenate([[0], np.cumsum(enough)])
@@ -390,6 +384,11 @@ def verify(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> list[tuple[int,
     """
     if len(b) < width or not len(a):
         return []
+    known = np.sort(a)
+    at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    need = 2 * THRESHOLD / (1 + THRESHOLD) * width
+    if np.count_nonzero(known[at] == b) < need:
+        return []
     values, rank, times = np.unique(a, return_inverse=True, return_counts=True)
     place = np.sort((rank.astype(np.int64) << 32) | np.arange(len(a)))
     at = np.minimum(np.searchsorted(values, b), len(values) - 1)
@@ -398,7 +397,6 @@ def verify(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> list[tuple[int,
     first = np.searchsorted(place, key)
     once = times[at[found]] == 1
     shifts = np.sort((place[first] & 0xFFFFFFFF)[once] - found[once])
-    need = 2 * THRESHOLD / (1 + THRESHOLD) * width
     # alignments: those of shingles that a has once, and the one that the ranges were cut for
     tries = [int(np.median(x)) for x in np.split(shifts, np.flatnonzero(np.diff(shifts) > DRIFT) + 1) if len(x) >= need / 4]
     middle = (len(a) - len(b)) // 2
@@ -468,7 +466,9 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
                         got.append(Records.unpack(blob, _WINDOW))
                     else:
                         out.append((bucket, kind, blob))
-            rows, m = echoes(Records.join(got, _WINDOW))
+            rows = Records.join(got, _WINDOW)
+            del got
+            rows, m = echoes(rows)
             rows = rows.take(shared(rows)[0])
             yield from told.add(MATCH, Records.join([m, meet(rows)], _MATCH))
             yield from told.add(MARK, marks(rows))
