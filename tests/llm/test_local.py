@@ -1,6 +1,7 @@
 """The parts that need no session: each against a plain version of itself."""
 
 import io
+import pathlib
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from memtide.llm import base, compact_windows, license_scan, line_rules, near_dedup, packing, registry, rule_ensemble, suffix_dedup, url_filter, warc
+from memtide.llm import base, compact_windows, licence_texts, license_scan, line_rules, near_dedup, packing, registry, rule_ensemble, suffix_dedup, url_filter, warc
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -90,12 +91,14 @@ def test_line_rules(texts):
         assert {k: int(v[i]) for k, v in got.items() if k != "_words"} == plain_line_rules(t), t
 
 
-def test_url_split_and_digest_array():
+def test_url_split_and_digest_array(tmp_path):
     assert url_filter.split_url("HTTP://A.Example.NET/x?q#f") == ("a.example.net", "/x")
     assert url_filter.split_url(None) == url_filter.split_url("no scheme") == ("", "")
     assert url_filter.split_url("x://h?a/b") == ("h", "") and url_filter.split_url("x://É.Z") == ("É.z", "")
     rules = [url_filter.Rule(f"h{i}.net/{i}", "block") for i in range(1000)]
-    d = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(rules))
+    (tmp_path / "d").write_bytes(url_filter.DigestArray.pack(rules))
+    d = url_filter.DigestArray.opened(f"file://{tmp_path}/d")
+    assert isinstance(d.keys.base, np.memmap) or isinstance(d.keys, np.memmap) or d.keys.base is not None
     asked = [f"h{i}.net/{i}".encode() for i in range(0, 2000, 7)]
     assert [k >= 0 for k in d.find(asked)] == [i < 1000 for i in range(0, 2000, 7)]
     clash = url_filter.DigestArray(url_filter.DigestArray.pack(rules[:3]))
@@ -274,12 +277,95 @@ def test_weighted_jaccard_and_samples():
     assert len(np.intersect1d(band[0], band[1])) > 0 and len(np.intersect1d(band[0], band[2])) == 0
 
 
-def test_licence_terms():
-    assert license_scan.terms("CC BY-NC 4.0") == [b"cc", b"by", b"nc", b"4", b"0"]
+def licence_matches(texts, known=None):
+    idf = np.full(near_dedup.FEATURES, 3.0, np.float32)
+    index = license_scan.Index(known or licence_texts.templates(), idf)
+    s, e, first = base.words(*(b := base.text_buffers(pa.array(texts))))
+    got = index.matches(base.word_hashes(b[0], s, e), first, idf, license_scan.SIMILARITY)
+    return [[(index.known[-x[1]].license, x[2], x[3] - first[i], x[4] - first[i]) for x in got.get(i, [])] for i in range(len(texts))]
+
+
+def plain_cosine(a, b):
+    from collections import Counter
+
+    a, b = Counter(a), Counter(b)
+    return sum(a[k] * b[k] for k in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+
+
+def test_licences_against_brute_force():
+    """Whatever block of a template's length is very like it is found, with the cosine that plain counting gives."""
+    rnd = random.Random(4)
+    known = [t for t in licence_texts.templates() if len(plain_words(t.text)) >= 9]
+    texts = []
+    for t in known:
+        w = plain_words(t.text)
+        for _ in range(len(w) // 40):
+            w[rnd.randrange(len(w))] = "changed"
+        texts.append(" ".join([*(rnd.choice("qwxyz") * 5 for _ in range(rnd.randint(0, 50))), *w, *(rnd.choice("qwxyz") * 5 for _ in range(rnd.randint(0, 50)))]))
+    said = lambda words, t: all(any(" " + " ".join(plain_words(p)) + " " in " " + " ".join(words) + " " for p in g) for g in t.must)
+    for text, got in zip(texts, licence_matches(texts, known)):
+        words = plain_words(text)
+        best = (0, None)
+        for t in known:
+            w = plain_words(t.text)
+            for i in range(max(len(words) - len(w) + 1, 1)):
+                if len(set(words[i : i + len(w)]) & set(w)) > 0.5 * len(set(w)) and said(words[max(i - 4, 0) : i + len(w) + 4], t):
+                    c = plain_cosine(words[i : i + len(w)], w)
+                    best = max(best, (round(c * len(words[i : i + len(w)]), 6), t.license))
+        assert bool(got) == bool(best[1])
+        if not got:  # a phrase that decides is among the changed words
+            continue
+        name, cos, a, z = got[0]
+        assert name == best[1] and abs(cos * (z - a) - best[0]) < 0.02 * best[0], (name, best)
+        t = max((t for t in known if t.license == name), key=lambda t: plain_cosine(words[a:z], plain_words(t.text)))
+        assert abs(cos - plain_cosine(words[a:z], plain_words(t.text))) < 2e-6
+
+
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0")])
+def test_licence_files_of_the_system(file, name):
+    p = pathlib.Path("/usr/share/common-licenses", file)
+    if not p.exists():
+        pytest.skip("not on this system")
+    (got,) = licence_matches([p.read_text(errors="replace")])
+    assert got[0][0] == name and got[0][1] > 0.9
+
+
+def test_licence_versions_and_tags_decide():
+    lines = ["Licensed under the GNU General Public License, version 2.", "x Licensed under the GNU Lesser General Public License v2.1 y", "// SPDX-License-Identifier: GPL-3.0-or-later", "# SPDX-License-Identifier: EPL-2.0", "Project Acme is licensed under the Apache License, Version 2.0", "licensed to kill under the moon", "Licensed under CC BY-NC 4.0.", licence_texts.ISC, "Copyright X. " + licence_texts.MIT.replace("\n", "\n * ")]
+    got = [m and m[0][0] for m in licence_matches(lines)]
+    assert got == ["GPL-2.0", "LGPL-2.1", "GPL-3.0-or-later", [], "Apache-2.0", [], "CC-BY-NC-4.0", "ISC", "MIT"]
+    later, only = (next(t.text for t in licence_texts.templates() if t.license == f"GPL-2.0-{k}") for k in ("or-later", "only"))
+    assert [m[0][0] for m in licence_matches([later, only])] == ["GPL-2.0-or-later", "GPL-2.0-only"]
     assert license_scan.LICENCE_FILE.search("a/LICENSE.txt") and not license_scan.LICENCE_FILE.search("a/licensed.txt")
 
 
-def test_crc_of_pieces():
-    e = packing.Encoder(registry.tokenizer_path())
-    ids, _ = e.encode(["hello world"])
-    assert zlib.crc32(ids.astype("<u4").tobytes()) == zlib.crc32(np.array([*e.tokenizer.encode("hello world", add_special_tokens=False).ids, 2], "<u4").tobytes())
+def thue_morse(n, k):
+    return "".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n))
+
+
+def test_no_strings_collide_by_structure():
+    one, two = thue_morse(4096, 0), thue_morse(4096, 1)
+    for n in (512, 1024, 2048, 4096):
+        got = line_rules.measure(*base.text_buffers(pa.array([f"{one[:n]}\n{two[:n]}", f"a b {one[:n]} c d a b {two[:n]} c d"])))
+        assert got["n_dup_lines"].tolist() == [0, 0] and got["n_repeat_words"].tolist() == [0, 0]
+
+
+def test_distinct_and_buckets():
+    x = np.array([5, 3, 3, 9, 5], np.uint64)
+    assert base.distinct(x).tolist() == [3, 5, 9] and len(base.distinct(x[:0])) == 0
+    rows = [pa.RecordBatch.from_arrays([pa.array(k, pa.int32())], names=["bucket"]) for k in ([1, 1, 2], [2, 3], [], [3])]
+    assert [[b.column(0).to_pylist() for b in part] for part in base.by_bucket(iter(rows))] == [[[1, 1]], [[2], [2]], [[3], [3]]]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_crc_of_pieces(name):
+    """Whole texts under either kind of vocabulary."""
+    import public_tokenizers
+
+    e = packing.Encoder(str(public_tokenizers.path(name)))
+    assert e.chunked == (name == registry.TOKENIZER)
+    texts = ["Hello World Foo", "", " lead  and trail ", "a\n\nb", "É1 x"]
+    ids, bound = e.encode(texts)
+    for i, t in enumerate(texts):
+        want = np.array([*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert zlib.crc32(ids[bound[i] : bound[i + 1]].astype("<u4").tobytes()) == zlib.crc32(want.tobytes())
