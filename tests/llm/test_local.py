@@ -293,7 +293,8 @@ def plain_cosine(a, b):
 
 
 def test_licences_against_brute_force():
-    """Whatever block of a template's length is very like it is found, with the cosine that plain counting gives."""
+    """Whatever block of a template's length shares its runs and is very like it is found, with the cosine that plain counting gives."""
+    runs = lambda w: set(zip(w, w[1:], w[2:]))
     rnd = random.Random(4)
     known = [t for t in licence_texts.templates() if len(plain_words(t.text)) >= 9]
     texts = []
@@ -309,7 +310,7 @@ def test_licences_against_brute_force():
         for t in known:
             w = plain_words(t.text)
             for i in range(max(len(words) - len(w) + 1, 1)):
-                if len(set(words[i : i + len(w)]) & set(w)) > 0.5 * len(set(w)) and said(words[max(i - 4, 0) : i + len(w) + 4], t):
+                if len(runs(words[i : i + len(w)]) & runs(w)) >= license_scan.SHARE * (len(w) - 2) and said(words[max(i - 4, 0) : i + len(w) + 4], t):
                     c = plain_cosine(words[i : i + len(w)], w)
                     if c >= license_scan.SIMILARITY:
                         best = max(best, (round(c * len(words[i : i + len(w)]), 6), t.license))
