@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -21,13 +22,13 @@ FLAGS = {"p": modes.PROTECTED, "w": modes.WRITE, "r": modes.READ, "x": modes.EXE
 
 
 class Session:
-    def __init__(self, path: str) -> None:
-        self.path, self.now = path, int(time.time())
+    def __init__(self, path: str, ignore_ecc: bool = False) -> None:
+        self.path, self.now, self.ignore_ecc = path, int(time.time()), ignore_ecc
         self.spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
         self.spark.sparkContext.setLogLevel("ERROR")
 
     def card(self) -> cards.Cards:
-        c = cards.read_cards(self.spark, os.path.abspath(self.path))
+        c = cards.read_cards(self.spark, os.path.abspath(self.path), self.ignore_ecc)
         sb = c.superblocks().first()
         if sb is None or sb.error:
             raise layout.CardError(sb.error if sb else "no such card")
@@ -59,7 +60,7 @@ class Session:
         loaded = []
         for f in files:  # all are read before the card is touched
             if os.path.isdir(f):
-                inside = {n: open(os.path.join(f, n), "rb").read() for n in os.listdir(f) if os.path.isfile(os.path.join(f, n))}
+                inside = {n: open(os.path.join(f, n), "rb").read() for n in sorted(os.listdir(f)) if os.path.isfile(os.path.join(f, n))}
                 loaded.append(containers.from_files(os.path.basename(os.path.abspath(f)), inside, self.now))
             elif f.lower().endswith(".zip"):
                 loaded += containers.from_zip(open(f, "rb").read(), self.now)
@@ -72,9 +73,18 @@ class Session:
             rows += [(c, f"/{d.name}/{e.name}", f"/{d.name}", e.name, None, e.mode, e.length, e.created, e.modified, data) for e, data in s.files]
         return self.spark.createDataFrame(rows, cards.FILES)
 
+    def written(self, files, folder: str, policy: str) -> int:
+        """Write files of a table under a folder of this machine and tell of each; 0 if nothing was in the way."""
+        with tempfile.TemporaryDirectory() as report:
+            done = sinks.write_files(files, os.path.abspath(folder), policy, f"file://{report}/written").orderBy("name").collect()
+        for r in done:
+            print(f"{r.name}: {r.state}")
+        return int(not done or any(r.state == "exists" for r in done))
+
 
 def run(argv: list[str]) -> int:
     p = argparse.ArgumentParser(prog="memtide", description=__doc__)
+    p.add_argument("--ignore-ecc", "-i", action="store_true", help="take the card for an image without codes")
     p.add_argument("card")
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -87,7 +97,7 @@ def run(argv: list[str]) -> int:
             c.add_argument(o, action="store_true") if kind is bool else c.add_argument(o, type=kind)
         return c
 
-    for name in ("df", "dir", "check", "help", "usage"):
+    for name in ("df", "dir", "check", "help", "usage", "u"):
         command(name)
     command("ls", "paths*", created=bool)
     command("add", "files+", directory=str)
@@ -103,19 +113,19 @@ def run(argv: list[str]) -> int:
     command("import-all", "files+", ignore_existing=bool, overwrite_existing=bool)
     for name in ("export", "export-files", "export-files-zip"):
         command(name, "paths+", type=str, directory=str, long_names=bool, ignore_existing=bool, overwrite_existing=bool)
-    for name in ("export-all", "export-all-zip"):
-        command(name, type=str, directory=str, long_names=bool, ignore_existing=bool, overwrite_existing=bool)
+    command("export-all", directory=str, ignore_existing=bool, overwrite_existing=bool)
+    command("export-all-zip", output=str, directory=str, overwrite_existing=bool)
     for name in ("set", "clear"):
         command(name, "flags", "paths+", hex_mode=str)
     a = p.parse_args(argv)
-    if a.command in ("help", "usage"):
+    if a.command in ("help", "usage", "u"):
         p.print_help()
         return 0
     if getattr(a, "ignore_existing", False) and getattr(a, "overwrite_existing", False):
         print("--ignore-existing and --overwrite-existing exclude each other", file=sys.stderr)
         return 1
     policy = "skip" if getattr(a, "ignore_existing", False) else "replace" if getattr(a, "overwrite_existing", False) else "error"
-    s = Session(a.card)
+    s = Session(a.card, a.ignore_ecc)
     try:
         return _run(a, s, policy)
     except (layout.CardError, containers.FormatError, OSError) as e:
@@ -194,18 +204,27 @@ def _run(a, s: Session, policy: str) -> int:
         if a.command == "import-all":
             files = [os.path.join(f, n) for f in files if os.path.isdir(f) for n in sorted(os.listdir(f))] + [f for f in files if not os.path.isdir(f)]
         return s.apply(mutate.import_saves(e, s.saves_of(files), policy))
-    if not a.command.endswith(("all", "all-zip")):
-        names = [n.strip("/") for n in a.paths]
-        e = e.where(F.regexp_extract("path", "^/([^/]*)", 1).isin(names))
+    if a.command == "export-all":
+        return s.written(sinks.folder_files(e), a.directory or ".", policy)
+    if a.command == "export-all-zip":
+        name = a.output or os.path.splitext(os.path.basename(a.card))[0] + ".zip"
+        path = os.path.join(a.directory, name) if a.directory else name
+        if os.path.exists(path) and not a.overwrite_existing:
+            raise layout.IoError(f"{path} exists")
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(cards.encode_zips(e).first().content)
+        return 0
+    names = {n for p in a.paths for r in c.glob(p).collect() for n in [r.path.strip("/")]}
+    missing = names - {r.name for r in e.where("parent = ''").select("name").collect()}
+    for n in sorted(missing):
+        print(f"{n}: not found", file=sys.stderr)
+    e = e.where(F.regexp_extract("path", "^/([^/]*)", 1).isin(sorted(names)))
     if a.command == "export-files":
-        files = sinks.folder_files(e)
-    else:
-        kind = "zip" if a.command.endswith("zip") else a.type or "psu"
-        files = sinks.save_files(cards.encode_saves(e, kind), kind, e if a.long_names else None)
-    done = sinks.write_files(files, os.path.abspath(a.directory or "."), policy).collect()
-    for r in done:
-        print(f"{r.name}: {r.state}")
-    return int(not done or any(r.state == "exists" for r in done))
+        return s.written(sinks.folder_files(e), a.directory or ".", policy) | int(bool(missing))
+    kind = "zip" if a.command.endswith("zip") else a.type or "psu"
+    files = sinks.save_files(cards.encode_saves(e, kind), kind, e if a.long_names else None)
+    return s.written(files, a.directory or ".", policy) | int(bool(missing))
 
 
 def main() -> None:

@@ -8,6 +8,8 @@ CODE_BITS = 15
 QUARTER = 1 << CODE_BITS
 SYMBOLS = 256 + MAX_MATCH - MIN_MATCH + 1
 TOP = QUARTER - 1
+#: Earlier places that the encoder tries for a match: more compress a little better; what it writes is whole either way.
+MATCH_TRIES = 512
 
 _POSITIONS = [0] * (WINDOW + 1)
 for _i in range(WINDOW, 0, -1):
@@ -184,7 +186,7 @@ def encode(src: bytes) -> bytes:
     while at < n:
         best, where, room = 0, -1, min(MAX_MATCH, n - at)
         p, tries = heads.get(data[at : at + MIN_MATCH], -1) if room >= MIN_MATCH else -1, 0
-        while p >= 0 and at - p <= WINDOW - MAX_MATCH and tries < 512 and best < room:
+        while p >= 0 and at - p <= WINDOW - MAX_MATCH and tries < MATCH_TRIES and best < room:
             if data[p + best : p + best + 1] == data[at + best : at + best + 1]:
                 limit, k = min(room, at - p), 0
                 while k < limit and data[p + k] == data[at + k]:

@@ -104,6 +104,11 @@ def latin1(raw: Column) -> Column:
     return F.substring_index(F.decode(raw, "ISO-8859-1"), "\u0000", 1)
 
 
+def psx_title(head: Column) -> Column:
+    """The title in a save's 128-byte head: bytes 4 to 67, up to a NUL."""
+    return latin1(F.substring(head, 5, 64))
+
+
 def file_type(path: Column) -> Column:
     """Container type by a file name's ending."""
     p = F.lower(path)

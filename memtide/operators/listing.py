@@ -48,6 +48,29 @@ def glob(names: DataFrame, pattern: str, column: str = "name") -> DataFrame:
     return found.union(none)
 
 
+def absolute(path: str, cwd: str = "/") -> str:
+    """A path as seen from a directory, its empty parts and '.' skipped and '..' going up."""
+    kept: list[str] = []
+    for x in (path if path.startswith("/") else f"{cwd}/{path}").split("/"):
+        if x == "..":
+            kept = kept[:-1]
+        elif x not in ("", "."):
+            kept.append(x)
+    return "/" + "/".join(kept)
+
+
+def glob_paths(dirents: DataFrame, cards: DataFrame, pattern: str, cwd: str = "/") -> DataFrame:
+    """(card_id, path): live entries of the pattern's directory whose names match its last component, with that directory
+    before them as it is written; a card without any gives the pattern itself."""
+    folder, slash, _ = pattern.rpartition("/")
+    prefix = "/".join(x for x in folder.split("/") if x) + "/" if folder.strip("/") else ""
+    prefix = ("/" if pattern.startswith("/") else "") + prefix
+    at = absolute(folder or slash or ".", cwd).rstrip("/") + "/"
+    live = dirents.where(modes.exists(F.col("mode")) & (F.col("dir_path") == at) & F.col("name").rlike(text.glob_regex(pattern)))
+    found = live.select("card_id", F.concat(F.lit(prefix), "name").alias("path"))
+    return cards.join(found, "card_id", "left").select("card_id", F.coalesce("path", F.lit(pattern)).alias("path"))
+
+
 def find(dirents: DataFrame, name: str) -> DataFrame:
     """Of each directory the first slot with a name."""
     return dirents.where((F.col("name") == name) & modes.exists(F.col("mode"))).groupBy("card_id", "dir_path").agg(F.min("slot").alias("slot"))

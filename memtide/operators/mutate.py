@@ -66,6 +66,15 @@ def put_files(entries: DataFrame, new: DataFrame, now: Column, append: bool = Fa
     return entries.join(_keys(new), ["card_id", "path"], "left_anti").unionByName(made)
 
 
+def write_at(entries: DataFrame, writes: DataFrame, now: Column) -> DataFrame:
+    """Write (card_id, path, offset, data) into files, one write a file: what lies around stays, a gap before it is filled with zeros."""
+    old = entries.select("card_id", "path", F.coalesce("data", F.lit(b"")).alias("__old"))
+    got = writes.join(old, ["card_id", "path"], "left").withColumn("__old", F.coalesce("__old", F.lit(b"")))
+    before = F.expr("rpad(__old, cast(offset AS int), X'00')")
+    after = F.expr("substring(__old, cast(offset AS int) + length(data) + 1)")
+    return put_files(entries, got.select("card_id", "path", F.concat(before, "data", after).alias("data")), now)
+
+
 def remove(entries: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove files and empty directories."""
     want = _keys(paths)

@@ -30,6 +30,11 @@ def free_space(fat: DataFrame, cards: DataFrame) -> DataFrame:
     return got.select("card_id", ((F.col("alloc_end") - F.coalesce("used", F.lit(0))) * F.col("cluster_size")).alias("free_bytes"), (F.col("alloc_end") * F.col("cluster_size")).alias("total_bytes"))
 
 
+def allocatable(cards: DataFrame) -> DataFrame:
+    """(card_id, bytes) of the clusters that may be allocated."""
+    return cards.select("card_id", (F.col("alloc_limit") * F.col("cluster_size")).alias("bytes"))
+
+
 def ancestors(path: Column) -> Column:
     """All directories above an absolute path, '/' first."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")

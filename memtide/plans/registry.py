@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ecc, modes, text, times
+from ..functions import ecc, modes, pixels, text, times
 from ..operators import check, listing, mutate, space
 from ..sources import cards as card_source
 from ..sources import containers, layout
@@ -228,15 +228,13 @@ def create_slot(spark, sf_dir):
 
 @query("zip_group", "SELECT split_part(url, '/', 3) AS folder, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS members FROM pages GROUP BY 1")
 def zip_group(spark, sf_dir):
-    p = v.table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("folder"), "page_id")
+    p = card_source.zip_groups(v.table(spark, sf_dir, "pages").select(F.concat(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/p")).alias("path"), "page_id"))
     return p.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("members"))
 
 
 @query("sort_names", "SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS place FROM part")
 def sort_names(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return v.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")).cast("long").alias("place"))
+    return card_source.in_order(v.table(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey").select("p_partkey", "p_name", (F.col("slot") - 1).cast("long").alias("place"))
 
 
 @query("tod_to_unix", "SELECT event_id, (epoch(date_trunc('second', ts)) - 32400)::BIGINT AS unix FROM events")
@@ -280,22 +278,21 @@ def long_name(spark, sf_dir):
 
 @query("psx_title", "SELECT p_partkey, substr(rpad('SC__' || p_name || p_type || p_brand, 128, '='), 5, 64) AS title FROM part")
 def psx_title(spark, sf_dir):
-    """The title field of a 128-byte head: bytes 4 to 67, up to a NUL."""
     head = F.encode(F.rpad(F.concat(F.lit("SC__"), "p_name", "p_type", "p_brand"), 128, "="), "UTF-8")
-    return v.table(spark, sf_dir, "part").select("p_partkey", text.latin1(F.substring(head, 5, 64)).alias("title"))
+    return v.table(spark, sf_dir, "part").select("p_partkey", text.psx_title(head).alias("title"))
 
 
 @query("texture_rgb", "SELECT event_id, (p & 31) << 3 AS r, (p >> 5 & 31) << 3 AS g, (p >> 10 & 31) << 3 AS b FROM (SELECT event_id, user_id & 65535 AS p FROM events)")
 def texture_rgb(spark, sf_dir):
     p = F.col("user_id").bitwiseAND(F.lit(0xFFFF))
-    five = lambda s: F.shiftleft(F.shiftright(p, s).bitwiseAND(F.lit(31)), 3)
-    return v.table(spark, sf_dir, "events").select("event_id", five(0).alias("r"), five(5).alias("g"), five(10).alias("b"))
+    r, g, b = pixels.rgb(p)
+    return v.table(spark, sf_dir, "events").select("event_id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 @query("fixed_point", "SELECT event_id, CASE WHEN p >= 32768 THEN p - 65536 ELSE p END / 4096.0::DOUBLE AS x FROM (SELECT event_id, user_id & 65535 AS p FROM events)")
 def fixed_point(spark, sf_dir):
     p = F.col("user_id").bitwiseAND(F.lit(0xFFFF))
-    return v.table(spark, sf_dir, "events").select("event_id", (F.when(p >= 32768, p - 65536).otherwise(p) / F.lit(4096.0)).alias("x"))
+    return v.table(spark, sf_dir, "events").select("event_id", pixels.fixed_point(p).alias("x"))
 
 
 @query("detect_type", "SELECT doc_id, CASE WHEN strlen(text) < 16 THEN NULL WHEN starts_with(text, 'nPort') THEN 'npo' WHEN starts_with(text, 'Ps2PowerSave') THEN 'max' ELSE 'psu' END AS kind FROM documents")
@@ -358,20 +355,55 @@ def zip_roundtrip(spark, sf_dir):
     return _through(spark, sf_dir, "zip")
 
 
-@query("card_check", "SELECT NULL::VARCHAR AS card_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS path, NULL::VARCHAR AS detail WHERE false")
-def card_check(spark, sf_dir):
-    """Findings on freshly encoded images: none."""
-    return card_source.Cards(card_source.encode_images(_save_entries(spark, sf_dir), 8, 1_700_000_000)).check()
+_USED = """WITH s AS (SELECT 'card-' || (item_id // 16)::VARCHAR AS card_id, item_id // 8 AS save, count(*) AS n, sum((strlen(coalesce(text, '')) + 1023) // 1024) AS clusters FROM benchmark GROUP BY 1, 2),
+c AS (SELECT card_id, sum((n + 3) // 2 + clusters) + (count(*) + 3) // 2 AS used FROM s GROUP BY 1)"""
 
 
-@query("card_df")
+@query("card_df", f"{_USED} SELECT card_id, ((8135 - used) * 1024)::BIGINT AS free_bytes, (8135 * 1024)::BIGINT AS total_bytes FROM c")
 def card_df(spark, sf_dir):
+    """Free space of encoded images: root, save directories and files in whole clusters."""
     return card_source.Cards(card_source.encode_images(_save_entries(spark, sf_dir), 8, 1_700_000_000)).free_space()
 
 
-@query("crc32_docs")
-def crc32_docs(spark, sf_dir):
-    return v.table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+#: Damage that is done to card images, by their number: bytes set at a place in the card without its codes.
+_ROOT = (9 + 32) * 1024
+DAMAGE = {
+    "sound": (),
+    "lost": ((9 * 1024 + 4 * 4000, b"\xff\xff\xff\xff"),),
+    "dots": ((_ROOT + 512 + 64, b"xx"),),
+    "odd time": ((_ROOT + 2 * 512 + 14, b"\xff\xff"),),
+    "not a card": ((0, b"none"),),
+    "bad table": ((8 * 1024, b"\xff\xff\xff\x7f"),),
+    "huge": ((48, b"\xff\xff\xff\x7f"),),
+}
+
+
+def _damaged(spark, sf_dir):
+    """The images of the saves without codes, each in every state of DAMAGE."""
+    images = card_source.encode_images(_save_entries(spark, sf_dir), 8, 1_700_000_000, with_ecc=False).select("card_id", "content")
+    kinds = images.withColumn("state", F.explode(F.array(*map(F.lit, DAMAGE))))
+    content = F.col("content")
+    for state, changes in DAMAGE.items():
+        for at, raw in changes:
+            content = F.when(F.col("state") == state, F.concat(F.substring("content", 1, at), F.lit(raw), F.expr(f"substring(content, {at + len(raw) + 1})"))).otherwise(content)
+    return kinds.select(F.concat("card_id", F.lit(" "), "state").alias("card_id"), content.alias("content"))
+
+
+@query("card_check", """WITH c AS (SELECT DISTINCT 'card-' || (item_id // 16)::VARCHAR AS card_id FROM benchmark),
+f(state, kind, path, detail) AS (VALUES ('lost', 'lost', NULL, '4000'), ('dots', 'unreadable', NULL, 'corrupt: root directory damaged'), ('not a card', 'unreadable', NULL, 'corrupt: not a card image'),
+('bad table', 'unreadable', NULL, 'corrupt: damaged FAT table'), ('huge', 'unreadable', NULL, 'corrupt: impossible geometry'))
+SELECT card_id || ' ' || state AS card_id, kind, path, detail FROM c, f""")
+def card_check(spark, sf_dir):
+    """Findings on sound and damaged images; a damaged card is a row, the others are checked beside it."""
+    return card_source.Cards(_damaged(spark, sf_dir)).check()
+
+
+@query("crc32_items", """WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+h AS (SELECT item_id, hex(encode(coalesce(text, ''))) AS h FROM benchmark),
+b AS (SELECT item_id, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT) AS bytes FROM h)
+SELECT item_id, xor(list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS crc FROM b, t""")
+def crc32_items(spark, sf_dir):
+    return v.table(spark, sf_dir, "benchmark").select("item_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc"))
 
 
 assert containers.MAX_MAGIC

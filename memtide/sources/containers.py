@@ -194,11 +194,14 @@ def to_zip(saves: list[Save]) -> bytes:
 def from_zip(raw: bytes, now: int) -> list[Save]:
     """One save for each top folder; what lies deeper or at the top is left out."""
     groups: dict[str, dict[str, bytes]] = {}
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for i in z.infolist():
-            parts = i.filename.split("/")
-            if not i.is_dir() and len(parts) >= 2 and parts[-1]:
-                groups.setdefault(parts[0], {})[parts[-1]] = z.read(i)
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for i in z.infolist():
+                parts = i.filename.split("/")
+                if not i.is_dir() and len(parts) >= 2 and parts[-1]:
+                    groups.setdefault(parts[0], {})[parts[-1]] = z.read(i)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+        raise FormatError(f"zip: {e}") from e
     return [from_files(d, f, now) for d, f in groups.items()]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from ..functions.rounding import div_round_up, round_down
 from ..functions.times import pack_tod, unpack_tod
@@ -15,6 +15,8 @@ ALLOCATED, CHAIN_END, FREE = 0x80000000, 0xFFFFFFFF, 0x7FFFFFFF
 CLUSTER, PAGE, PAGES, PAGES_PER_BLOCK = 1024, 512, 16384, 16
 INDIRECT_OFFSET, MAX_INDIRECT, DIRENT = 0x2000, 32, 512
 SIZES_MB = (8, 16, 32, 64)
+#: No card is larger; what a superblock says beyond that is damage.
+MAX_BYTES = max(SIZES_MB) << 20
 
 
 class CardError(Exception):
@@ -64,6 +66,19 @@ class Geometry:
     def entries(self) -> int:
         return self.cluster_size // 4
 
+    @property
+    def possible(self) -> bool:
+        """Whether a card can be so: sizes of the format, everything inside the card."""
+        return (
+            DIRENT <= self.page_size <= CLUSTER
+            and self.page_size & (self.page_size - 1) == 0
+            and self.page_size * self.pages_per_cluster == CLUSTER
+            and self.pages_per_block > 0
+            and 0 < self.clusters * CLUSTER <= MAX_BYTES
+            and 0 < self.alloc_end <= self.clusters - min(self.alloc_offset, self.clusters)
+            and self.root < self.alloc_end
+        )
+
     @property
     def limit(self) -> int:
         """Clusters that may be allocated: up to the blocks kept for the superblock's spare copy."""
@@ -137,6 +152,10 @@ class Dirent:
         name = raw[64:512].partition(b"\0")[0].decode("latin-1")
         return Dirent(mode, length, unpack_tod(raw[8:16]), cluster, parent, unpack_tod(raw[24:32]), name, attr, unused)
 
+    def changed(self, **fields) -> Dirent:
+        """The same entry with other values in some fields."""
+        return replace(self, **fields)
+
     def pack(self) -> bytes:
         out = bytearray(DIRENT)
         struct.pack_into("<HHI", out, 0, self.mode, self.unused, self.length)

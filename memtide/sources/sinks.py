@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from .cards import icon_sys
 POLICIES = ("error", "skip", "replace")
 
 
-def write_files(files: DataFrame, folder: str, on_conflict: str = "error") -> DataFrame:
-    """Write rows (name, content) as files of ``folder``, a path or a URI; returns (name, bytes, state).
+def write_files(files: DataFrame, folder: str, on_conflict: str = "error", report: str | None = None) -> DataFrame:
+    """Write rows (name, content) as files of ``folder``, a path or a URI; returns (name, bytes, state), a table written at
+    ``report`` (a new path in spark.checkpoint.dir, or without that a hidden one in the folder).
 
     What exists already is an error, left alone, or replaced, by ``on_conflict``.  Each file is written beside its place
     and moved there, so a lost task leaves no half a file and its second attempt writes the same.
@@ -42,8 +45,11 @@ def write_files(files: DataFrame, folder: str, on_conflict: str = "error") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.as_buffer()) for x in b.column(1)], pa.int64()), pa.array(states, pa.string())], names=["name", "bytes", "state"])
 
     done = files.where("content IS NOT NULL").select("name", "content").mapInArrow(write, "name string, bytes long, state string")
-    # writing happens once, now: a row for each file comes back, none of their bytes
-    return done.sparkSession.createDataFrame(done.collect(), done.schema)
+    # writing happens once, now, and tasks write down what they did
+    if report is None:
+        report = f"{done.sparkSession.sparkContext.getConf().get('spark.checkpoint.dir', '') or uri}/.written-{uuid.uuid4().hex}"
+    done.write.parquet(report)
+    return done.sparkSession.read.schema(done.schema).parquet(report)
 
 
 def save_files(exported: DataFrame, kind: str, entries: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 import pytest
 from memtide.functions import modes
-from memtide.operators import listing, mutate
+from memtide.operators import check, listing, mutate
 from memtide.sources import cards, layout
-from memtide.sources.image import build
+from memtide.sources.image import Image, build
 from pyspark.sql import functions as F
 from tests.test_codecs import NOW, entry, icon, icon_sys
 
@@ -42,7 +42,9 @@ def test_listing(card):
     assert [(s.name, s.title1, s.title2, s.size, s.protection) for s in saves] == [("BASLUS-20956Game 1", "Larry: MCL", "Game #00001", 3072 + 1024 + 1024 + 1024, "Not Protected"), ("BADATA-SYSTEM", "Corrupt", "", 3072, "Delete Protected")]
     text = listing.dir_text(card.saves()).orderBy("slot").first()
     assert (text.line1, text.line2) == ("BASLUS-20956Game 1               Larry: MCL", "   6KB Not Protected             Game #00001")
-    assert [r.name for r in card.glob("/BAS*").collect()] == ["BASLUS-20956Game 1"] and [r.name for r in card.glob("/z*").collect()] == ["/z*"]
+    assert sorted((r.card_id, r.path) for r in card.glob("/BAS*").collect()) == [("junk", "/BAS*"), ("one", "/BASLUS-20956Game 1")] and {r.path for r in card.glob("/z*").collect()} == {"/z*"}
+    assert [r.path for r in card.glob("BADATA-SYSTEM/../BADATA-SYSTEM/h*").where("card_id = 'one'").collect()] == ["BADATA-SYSTEM/../BADATA-SYSTEM/history"]
+    assert [r.path for r in card.glob("h?story", cwd="/BADATA-SYSTEM").where("card_id = 'one'").collect()] == ["h?story".replace("?", "i")]
     assert card.icons().first().icon.vertex_count == 3
 
 
@@ -75,14 +77,89 @@ def test_check(spark):
         b.fat[2] = layout.FREE
 
     def dots(b):
-        b.clusters[41 + 2, 64] = ord("x")
+        b.clusters[41 + 1, 64] = ord("x")  # the first save's "."; its directory begins in cluster 1
 
     images = [("ok", image(GOLDEN)), ("lost", broken(lose)), ("short", broken(cut)), ("open", broken(free)), ("dot", broken(dots))]
-    got = cards.Cards(spark.createDataFrame(images, "card_id string, content binary")).check().collect()
+    c = cards.Cards(spark.createDataFrame(images, "card_id string, content binary"))
+    got = c.check().collect()
     kinds = {}
     for r in got:
         kinds.setdefault(r.card_id, set()).add(r.kind)
     assert "ok" not in kinds and kinds["lost"] == {"lost"} and "bad chain" in kinds["short"] and "bad chain" in kinds["open"] and kinds["dot"] == {"bad directory"}
+    # the same from tables
+    ends = c.endings()
+    plain = check.findings(c.fat(), c.chains(), ends.select("card_id", "path", "length"), c.dirents(), ends)
+    assert sorted(map(repr, got)) == sorted(map(repr, plain.collect()))
+
+
+def flipped(raw, cluster, at, *values):
+    """An image with bytes of a cluster changed and the codes as they were."""
+    out = bytearray(raw)
+    for k, v in enumerate(values):
+        page, off = divmod(at + k, 512)
+        out[(cluster * 2 + page) * 528 + off] ^= v
+    return bytes(out)
+
+
+def test_damaged_cards_are_rows(spark, tmp_path):
+    """One card's damage neither ends the job nor hides another card."""
+    good = image(GOLDEN)
+    times = image([folder("A", [entry("f", b"data")])])
+    i = Image(times)
+    raw = i.clusters.copy()
+    raw[41, 512 + 14 : 512 + 16] = 0xFF  # year 65535 in the root's second entry
+    odd = raw.tobytes()
+    damaged = {
+        "good": good,
+        "ecc": flipped(good, 41 + 1, 0, 1, 1),  # the first save's directory: two wrong bits show but can't be mended
+        "table": flipped(good, 8, 0, 1, 1),
+        "root": flipped(good, 41, 0, *[255] * 40),
+        "years": odd,
+        "geometry": good[:40] + b"\xff" * 40 + good[80:],
+        "cut": good[:100_000],
+        "empty": b"",
+    }
+    bare = bytearray(Image(good).clusters.tobytes())
+    bare[8 * 1024 : 8 * 1024 + 4] = b"\xff\xff\xff\x7f"
+    damaged["indirect"] = bytes(bare)
+    bare[8 * 1024 : 8 * 1024 + 4] = (9).to_bytes(4, "little")
+    bare[80:84] = b"\xff\xff\xff\x7f"
+    damaged["indirect list"] = bytes(bare)
+    c = cards.Cards(spark.createDataFrame(list(damaged.items()), "card_id string, content binary"))
+    for t in (c.superblocks, c.pages, c.fat, c.dirents, c.entries, c.chains, c.endings, c.saves, c.free_space, c.check, c.icons, c.sizes, c.info):
+        t().count()
+    bad = {r.card_id: r for r in c.superblocks().where("error IS NOT NULL").collect()}
+    assert {"root", "geometry", "empty", "indirect", "indirect list"} <= set(bad) and not {"good", "ecc", "years"} & set(bad)
+    assert {(r.path, r.error.split(":")[0]) for r in c.errors().where("card_id = 'ecc'").collect()} == {("/BASLUS-20956Game 1", "ecc")}
+    found = {(r.card_id, r.kind) for r in c.check().collect()}
+    assert ("ecc", "unreadable") in found and not any(k == "good" for k, _ in found) and {("indirect", "unreadable"), ("geometry", "unreadable"), ("empty", "unreadable")} <= found
+    assert [r.name for r in c.saves().where("card_id = 'ecc'").orderBy("slot").collect()] == ["BASLUS-20956Game 1", "BADATA-SYSTEM"]
+    assert c.entries().where("card_id = 'years'").count() == 2 and c.dirents().where("card_id = 'years'").agg({"modified": "max"}).first()[0] is not None
+    # codes that don't hold can be left aside
+    assert cards.Cards(spark.createDataFrame([("x", bytes(Image(good).clusters.tobytes()))], "card_id string, content binary"), ignore_ecc=True).superblocks().first().has_ecc is False
+    zips = cards.read_zips(spark.createDataFrame([("bad", b"PK no zip"), ("none", b"")], "card_id string, content binary")).collect()
+    assert {r.card_id for r in zips} == {"bad", "none"} and all(r.error.startswith("format: zip") for r in zips)
+
+
+def test_parts_of_files_and_folders(spark, tmp_path):
+    body = bytes(range(256)) * 10
+    c = cards.Cards(spark.createDataFrame([("one", image([folder("A", [entry("f", body)])])), ("two", image([]))], "card_id string, content binary"))
+    for lo, n in ((0, None), (1000, 1100), (2559, 10), (0, 0), (5000, 4), (1024, 1024)):
+        (r,) = c.file("/A/f", lo, n).collect()
+        assert r.data == (body[lo:] if n is None else body[lo : lo + n]) and r.length == len(body)
+    assert c.file("f", cwd="/A/").count() == 1 and c.file("/A").count() == 0
+    e = c.entries()
+    now = F.lit(NOW).cast("long")
+    put = lambda at, data: mutate.write_at(e, spark.createDataFrame([("one", "/A/f", at, data)], "card_id string, path string, offset long, data binary"), now).where("path = '/A/f'").first().data
+    assert put(3, b"xy") == body[:3] + b"xy" + body[5:] and put(3000, b"z") == body + bytes(440) + b"z" and put(2558, b"abc") == body[:2558] + b"abc"
+    assert {r.card_id: r.bytes for r in c.allocatable().collect()} == dict.fromkeys(("one", "two"), layout.geometry_of_mb(8).limit * 1024)
+    (tmp_path / "B").mkdir()
+    for n in "zab":
+        (tmp_path / "B" / n).write_bytes(n.encode())
+    got = cards.read_folders(spark, str(tmp_path / "B")).orderBy("slot").collect()
+    assert [(r.path, r.slot, r.data and bytes(r.data)) for r in got] == [("/B", None, None), ("/B/a", 2, b"a"), ("/B/b", 3, b"b"), ("/B/z", 4, b"z")]
+    d = folder("A", [])[0]
+    assert d.changed(name="B").name == "B" and d.changed(name="B").mode == d.mode
 
 
 @pytest.fixture(scope="module")

@@ -181,3 +181,17 @@ def test_allocation_takes_least_value_first():
     i = Image(build(layout.geometry_of_mb(8), files, NOW))
     got = {e.name: i.read(e.cluster, e.length) for *_, s, e in i.walk() if s >= 2}
     assert got == {e.name: d for e, d in files}
+
+
+def test_times_of_any_year():
+    import datetime as dt
+
+    from memtide.functions import times
+
+    for y, mo, d, h in ((1970, 1, 1, 9), (2000, 2, 29, 0), (1999, 12, 31, 23), (2100, 3, 1, 5), (1, 1, 1, 9), (9999, 12, 31, 1)):
+        unix = int((dt.datetime(y, mo, d, h) - dt.datetime(1970, 1, 1)).total_seconds()) - 9 * 3600
+        raw = bytes([0, 0, 0, h, d, mo]) + y.to_bytes(2, "little")
+        assert times.unpack_tod(raw) == unix and times.pack_tod(unix) == raw
+    for raw in (b"\xff" * 8, bytes(8), bytes([0, 61, 75, 30, 40, 14, 255, 255])):
+        again = times.pack_tod(times.unpack_tod(raw))
+        assert len(again) == 8 and times.pack_tod(times.unpack_tod(again)) == again
