@@ -35,8 +35,9 @@ DRIFT = 16
 HELD = 1 << 19
 #: Of values with so many windows all pairs meet; windows of others meet leads, and what those leave open the exact pass compares.
 FEW = 16
-#: Distinct windows of a value in a block of the exact pass, and the shingles of a passage that a near one shares at least.
-BLOCK = 1024
+#: Distinct windows of a value in a block of the exact pass, whose units are pairs of blocks, and the shingles of a passage
+#: that a near one shares at least; a window that shares NEED shares more than RARE of so many more of the rarest.
+BLOCK, RARE = 4096, 8
 NEED = int(np.ceil(2 * THRESHOLD / (1 + THRESHOLD) * WIDTH - 1e-9))
 
 _ODD = np.random.default_rng(97531).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,7 +47,7 @@ _WINDOW = {"v": "<u8", "x": "<u4", "y": "<u4", "z": "<u4", "w": "<u8", "k": "u1"
 _MATCH = {"d": "<i8", "h": "<i8", "p": "<u4", "L": "u1", "R": "u1", "d0": "<i8", "h0": "<i8", "p0": "<u4", "g": "u1"}
 _MARK = {"d": "<i8", "h": "<i8", "k": "u1", "p": "<u4", "L": "u1", "R": "u1", "first": "u1", "size": "<u4"}
 #: A window for the exact pass: place of its first start, shingles, the starts still open (first, one past the last), whether it stands for its content.
-_OPEN = {"v": "<u8", "block": "<u4", "d": "<i8", "h": "<i8", "p": "<u4", "s": "<u4", "n": "u1", "lo": "u1", "hi": "u1", "first": "u1"}
+_OPEN = {"v": "<u8", "block": "<u8", "d": "<i8", "h": "<i8", "p": "<u4", "s": "<u4", "n": "u1", "lo": "u1", "hi": "u1", "first": "u1"}
 _ASK = {"pid": "<u8", "side": "u1", "d": "<i8", "h": "<i8", "p": "<u4", "n": "<u4"}
 _FOUND = {"d": "<i8", "h": "<i8", "s": "<u4", "n": "<u4", "d0": "<i8", "h0": "<i8", "s0": "<u4", "n0": "<u4"}
 
@@ -239,17 +240,21 @@ def open_windows(data: np.ndarray, off: np.ndarray, mark: list[Records], runs: l
         ask = np.flatnonzero((m.size[mine] > 0) & ((z > a) | ((m.first[mine] == 1) & (some[p1 + 1] > some[p0]))))
         parts.append([x[ask] for x in (mine, v, p0, p1, lo, hi)])
     i, v, p0, p1, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    # a window that stands for its content goes to every block of its value, one with open starts is asked in one of them
+    # of a value's pairs of blocks a window that stands for its content goes to those whose second is its own block, one with
+    # open starts to those whose first is
     of = m.size[i].astype(np.int64) // BLOCK + 1
     own = (base.mix((m.d[i] ^ m.h[i]).view("<u8")) % of.astype(np.uint64)).astype(np.int64)
-    row = np.repeat(np.arange(len(i)), of)
-    block = ragged(np.zeros(len(of), np.int64), of)
-    here = block == own[row]
-    keep = here | (m.first[i] == 1)[row]
-    row, block, here = row[keep], block[keep], here[keep]
+    stands, asked = m.first[i] == 1, hi > lo
+    one, two = (np.repeat(np.flatnonzero(x), of[x]) for x in (stands, asked))
+    other = [ragged(np.zeros(len(x), np.int64), x) for x in (of[stands], of[asked])]
+    again = (other[1] == own[two]) & stands[two]  # there already
+    row = np.concatenate([one, two[~again]])
+    block = np.concatenate([other[0] * of[one] + own[one], (own[two] * of[two] + other[1])[~again]])
+    here = np.concatenate([other[0] == own[one], np.ones(len(row) - len(one), bool)])
     size = (p1 - p0 + WIDTH)[row]
     j = i[row]
-    out = Records(v=v[row], block=block.astype("<u4"), d=m.d[j], h=m.h[j], p=m.p[j], s=(p0[row] - begin[doc[j]]).astype("<u4"), n=size.astype("u1"), lo=np.where(here, lo[row], 0).astype("u1"), hi=np.where(here, hi[row], 0).astype("u1"), first=m.first[j])
+    first = np.concatenate([np.ones(len(one), "u1"), np.zeros(len(row) - len(one), "u1")])
+    out = Records(v=v[row], block=block.astype("<u8"), d=m.d[j], h=m.h[j], p=m.p[j], s=(p0[row] - begin[doc[j]]).astype("<u4"), n=size.astype("u1"), lo=np.where(here, lo[row], 0).astype("u1"), hi=np.where(here, hi[row], 0).astype("u1"), first=first)
     return doc[j], out, (sh[ragged(p0[row], size)] >> np.uint64(48)).astype("<u2")
 
 
@@ -300,13 +305,11 @@ def settle(r: Records, content: np.ndarray) -> Records:
     for i in asked.tolist():
         left = lo[i] - begin[i] + np.flatnonzero(could[lo[i] : hi[i]])
         mine = content[begin[i] : begin[i + 1]]
-        # of any so many shingles a near window has one: look for those that fewest have
+        # a near window has more than RARE of any so many shingles: look for those that fewest have
         span = np.arange(begin[i] + left[0], begin[i] + left[-1] + WIDTH)
-        rare = span[np.argsort(np.where(earlier[span], size[span], 0), kind="stable")[: len(span) - NEED + 1]]
-        has = np.zeros(max(own[i] - top[i], 1), bool)
+        rare = span[np.argsort(np.where(earlier[span], size[span], 0), kind="stable")[: len(span) - NEED + 1 + RARE]]
         at = where[ragged(post[rare], size[rare])]
-        has[at[at < own[i]] - top[i]] = True
-        lead = top[i] + np.flatnonzero(has)
+        lead = top[i] + np.flatnonzero(np.bincount(at[at < own[i]] - top[i]) > RARE)
         m = len(lead)
         theirs = content[ragged(begin[lead], n[lead])]
         at = np.concatenate([[0], np.cumsum(n[lead])])
@@ -593,16 +596,17 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
 
     def verified(asks, tag):
         told = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
-        return base.stash(dealt(told).mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double"), tag)
+        return base.stash(dealt(told).mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double"), tag, free=True)
 
     docs = docs.select("d", "h", "x")
-    met = dealt(docs.mapInArrow(scan, _BLOBS)).mapInArrow(by_value, _BLOBS)
-    asks = base.stash(dealt(met).mapInArrow(by_document, _BLOBS), "passages-asked")
+    asks = base.stash(dealt(dealt(docs.mapInArrow(scan, _BLOBS)).mapInArrow(by_value, _BLOBS)).mapInArrow(by_document, _BLOBS), "passages-asked", free=True)
     found = verified(asks.where(F.col("kind") == ASK), "passages")
     # what the leads leave open: exactly, with all earlier windows of the same value
     told = asks.where(F.col("kind") == MARK).unionByName(run_blobs(found, n))
     left = dealt(beside(docs, told, n).mapInArrow(left_open, _BLOBS)).mapInArrow(by_value_again, _BLOBS)
-    more = verified(base.stash(dealt(left).mapInArrow(by_document, _BLOBS), "passages-asked"), "passages")
+    again = base.stash(dealt(left).mapInArrow(by_document, _BLOBS), "passages-asked", free=True)
+    more = verified(again, "passages")
+    base.release(asks, again)
     return found.unionByName(more)
 
 
