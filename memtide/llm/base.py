@@ -56,13 +56,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and
-    a lost executor costs a read, not a recomputation."""
+    a lost executor costs a read, not a recomputation.
+
+    ``free``: then let the driver collect its garbage, upon which Spark drops the shuffle files that led to the table.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    got = spark.read.schema(df.schema).parquet(path)
+    got._stashed_at = path
+    return got
+
+
+def release(*stashed: DataFrame) -> None:
+    """Remove stashed tables that nothing reads any more."""
+    for df in stashed:
+        drop_path(df.sparkSession, df._stashed_at)
 
 
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:

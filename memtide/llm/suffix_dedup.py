@@ -466,10 +466,10 @@ def repeated_runs(docs: DataFrame, n: int) -> DataFrame:
             yield from told.add(RUN, unite(compare_contexts(r, np.concatenate(datas), np.cumsum(_size(r)) - _size(r))))
         yield from told.flush()
 
-    known = base.stash(dealt(docs.select("d", "h", "x").mapInArrow(scan, _BLOBS)).mapInArrow(by_gram, _BLOBS), "runs")
+    known = base.stash(dealt(docs.select("d", "h", "x").mapInArrow(scan, _BLOBS)).mapInArrow(by_gram, _BLOBS), "runs", free=True)
     asks = known.where(F.col("kind") == ASK)
     ctx = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
-    exact = base.stash(dealt(ctx).mapInArrow(compare, _BLOBS), "exact-runs")
+    exact = base.stash(dealt(ctx).mapInArrow(compare, _BLOBS), "exact-runs", free=True)
     return known.where(F.col("kind") == RUN).union(exact)
 
 
