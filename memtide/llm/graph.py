@@ -9,7 +9,7 @@ from . import base
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node of each node's component; nodes without edges are not listed.
+    """(node, label), a stashed table: the smallest node of each node's component; nodes without edges are not listed.
 
     Each round every node takes the least label among its neighbours' and then its label's own label
     (pointer jumping), so rounds grow with the logarithm of a component's diameter, not with it.  Only
@@ -23,7 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         new = base.stash(step.join(jump, "label").select("node", "old", F.least("label", "root").alias("label")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        base.release(labels)
+        labels = new
+        if not new.where("label <> old").limit(1).count():
+            base.release(both)
             return labels

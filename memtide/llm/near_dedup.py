@@ -188,16 +188,20 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     label = graph.components(links)
 
     # groups that the hubs' links left in several classes: all pairs between classes, in blocks
-    comp = members.where("n > 2").join(label, "node", "left").select("band", "n", "node", F.coalesce("label", "node").alias("label"))
+    comp = members.where("n > 2").join(label.select("node", "label"), "node", "left").select("band", "n", "node", F.coalesce("label", "node").alias("label"))
     open_ = base.stash(comp.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "open-bands")
     rest = base.stash(comp.join(open_, "band"), "open")
+    used = [members, hubs, stars, links, open_, rest]
     if rest.limit(1).count():
-        links = base.stash(links.union(_verify_blocks(docs, texts, rest, idf)), "links")
-        label = graph.components(links)
+        more = base.stash(_verify_blocks(docs, texts, rest, idf), "links")
+        used += [label, more]
+        label = graph.components(links.union(more))
 
-    owned = texts.select("node", "first", "copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    owned = texts.select("node", "first", "copies").join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = base.stash(owned.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")).select("label", F.col("best.first").alias("class_id"), F.col("best.node").alias("class_node")), "best")
-    return base.stash(owned.join(best, "label").select("node", "first", "copies", "class_id", "class_node"), "classes")
+    classes = base.stash(owned.join(best, "label").select("node", "first", "copies", "class_id", "class_node"), "classes", free=True)
+    base.release(*used, label, best, texts)
+    return classes
 
 
 def _texts_of(docs, wanted):
