@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 
 import numpy as np
@@ -236,6 +237,14 @@ class Cards:
         """(card_id, path, length, data) of a file on each card that has it: all its bytes, or ``size`` from ``offset`` on."""
         return self._table("card_id string, path string, length long, data binary", _part, listing.absolute(path, cwd), offset, size)
 
+    def mode(self, path: str, cwd: str = "/") -> DataFrame:
+        """(card_id, mode) of an entry on each card that has it."""
+        at = listing.absolute(path, cwd)
+        if at == "/":
+            return self.dirents().where("dir_path = '/' AND slot = 0").select("card_id", "mode")
+        folder, _, name = at.rpartition("/")
+        return self.dirents().where((F.col("dir_path") == f"{folder}/") & (F.col("name") == name) & (F.col("slot") >= 2) & modes.exists(F.col("mode"))).select("card_id", "mode")
+
     def free_space(self) -> DataFrame:
         return space.free_space(self.fat(), self.superblocks().where("error IS NULL"))
 
@@ -344,7 +353,11 @@ def blank_cards(spark: SparkSession, n: int, size_mb: int = 8, now: int | None =
 
 
 def encode_images(entries: DataFrame, size_mb: int = 8, now: int | None = None, with_ecc: bool = True, cards: DataFrame | None = None) -> DataFrame:
-    """Images (card_id, content, error) of ``entries``: each card is a unit of one task, at most 64 MB by the format."""
+    """Images (card_id, content, error) of ``entries``: each card is a unit of one task, at most 64 MB by the format.
+
+    Entries keep their slots; those without one, or whose slot is taken, fill the slots that deleted entries left, by name, and
+    then come after the last.
+    """
     g, now = layout.geometry_of_mb(size_mb), int(time.time()) if now is None else now
     ids = (cards if cards is not None else entries.select("card_id")).distinct().select("card_id")
     root = ids.select("card_id", *[F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in entries.columns if c != "card_id"])
@@ -355,9 +368,23 @@ def encode_images(entries: DataFrame, size_mb: int = 8, now: int | None = None,
         for r in sorted(rows, key=lambda r: (r["slot"] is None, r["slot"] or 0, r["name"])):
             below.setdefault(r["parent"] or "", []).append(r)
 
+        def slots(rows):
+            placed, rest = {}, []
+            for r in rows:
+                if r["slot"] is None or r["slot"] < 2 or r["slot"] in placed:
+                    rest.append(r)
+                else:
+                    placed[r["slot"]] = r
+            holes = (s for s in itertools.count(2) if s not in placed)
+            placed |= {s: r for r, s in zip(sorted(rest, key=lambda r: r["name"]), [next(holes) for _ in rest], strict=True)}
+            return [placed.get(s) for s in range(2, max(placed, default=1) + 1)]
+
         def tree(path):
             out = []
-            for r in below.get(path, []):
+            for r in slots(below.get(path, [])):
+                if r is None:
+                    out.append(None)
+                    continue
                 e = layout.Dirent(r["mode"], r["length"], r["created"], 0, 0, r["modified"], r["name"][:32])
                 out.append((e, tree(r["path"]) if r["mode"] & modes.DIR else r["data"] or b""))
             return out

@@ -223,3 +223,15 @@ def test_slots(spark):
 def test_pages(card):
     """Only the erased block of the superblock's spare copy has pages without true codes."""
     assert card.pages().where("state <> 0").count() == 16
+
+
+def test_slots_are_kept_and_used_again(spark):
+    names = lambda c: {r.slot: r.name for r in c.entries().where("parent = ''").collect()}
+    c = cards.Cards(spark.createDataFrame([("one", image([folder(n, [entry("f", b"1")]) for n in "ABCD"]))], "card_id string, content binary"))
+    left = mutate.remove_tree(c.entries(), spark.createDataFrame([("one", "/B"), ("one", "/C")], "card_id string, path string"))
+    holes = cards.Cards(cards.encode_images(left, 8, NOW))
+    assert names(holes) == {2: "A", 5: "D"} and holes.check().count() == 0
+    made, _ = mutate.mkdir(holes.entries(), spark.createDataFrame([("one", f"/{n}") for n in ("Z", "X", "Y")], "card_id string, path string"), F.lit(NOW).cast("long"))
+    again = cards.Cards(cards.encode_images(made, 8, NOW))
+    assert names(again) == {2: "A", 3: "X", 4: "Y", 5: "D", 6: "Z"} and again.check().count() == 0
+    assert again.mode("X").first().mode == modes.NEW_DIR and again.mode("/").first().mode & modes.DIR and again.mode("/B").count() == 0
