@@ -633,7 +633,9 @@ def passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     ``spans`` are (start word, words, source id, source start word, similarity) of passages of PASSAGE words or more that
     are near an earlier document's: Jaccard similarity of their five-word shingles THRESHOLD or more.  ``n_removed``
     counts words in any.  Passages repeated inside one document only are none.  Null texts are empty; a null id is after
-    all others; rows equal in id and text are one document; rows with one id but different texts are different documents.
+    all others; rows equal in id and text are one document, each with its result; rows with one id (or none) but different texts
+    are different documents, in the order of a hash of theirs.  A very long text is a chunk of its task.  An empty table gives an
+    empty result; other columns are not read, whatever their names.
     """
     rows = _prepared(docs, key, text)
     found = near_passages(rows.drop("id"), base.buckets_for(docs))
@@ -656,7 +658,7 @@ def passage_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of their texts, from each one's first word to its last; other columns and rows stay.
 
-    A text that loses everything is empty; null texts stay null.
+    A text that loses everything is empty; null texts stay null.  Documents count as in ``passage_dedup``.
     """
     n = base.buckets_for(docs)
     found = near_passages(_prepared(docs, key, text).drop("id"), n)

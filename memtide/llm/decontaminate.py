@@ -46,7 +46,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """One row per document row: (key, n_words, n_hit, n_items, items_sha256, contaminated) and ``text_hash``.
 
     Null and empty texts have no words and no hits.  Rows that share key and text share their result, rows that
-    share only the key are told apart by a hash and the length of their text.  An empty benchmark hits nothing.
+    share only the key are told apart by a hash and the length of their text.  An item that is there twice counts once; ids are
+    compared as strings.  A very long text's words are rows of one task until they meet the tokens.  An empty benchmark hits
+    nothing, no documents give no rows, other columns are not read, whatever their names.
     """
     weight = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     small = (lambda df: F.broadcast(df)) if weight <= broadcast_bytes else (lambda df: df)

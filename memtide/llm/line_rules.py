@@ -141,8 +141,8 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def line_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row with its counts, ``base_failed`` and ``kept``.
 
-    Null and empty texts have no words: all counts 0, base_failed, not kept.  Repeated rows
-    are measured each, an empty table gives an empty result, other columns are not read.
+    Null and empty texts have no words: all counts 0, base_failed, not kept; a very long text is a chunk of its task.  Shares at
+    a limit pass.  Repeated rows are measured each, an empty table gives an empty result, other columns are not read.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "lost_chars"]
 

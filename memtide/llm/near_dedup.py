@@ -240,43 +240,49 @@ def _verify_stars(docs, texts, stars, idf):
 
 
 def _verify_blocks(docs, texts, rest, idf):
-    """Links between different classes of the same group, exactly: members are dealt to blocks of about BLOCK, each pair of blocks is a task's unit."""
+    """Links between different classes of the same group, exactly.
+
+    Members outside a group's largest class are dealt to blocks of about BLOCK, and so are all its members; a task's unit is a
+    block of the former beside one of the latter.  Inside the largest class nothing is compared, so its texts are copied only
+    once for each block of others.
+    """
     first = texts.select("node", "first")
-    blocks = (F.floor(F.col("n") / BLOCK) + 1).cast("int")
-    mine = rest.withColumn("of", blocks).withColumn("me", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
-        "band", F.least("me", "other").alias("p"), F.greatest("me", "other").alias("q"), "me", "node", "label"
-    )
-    rows = _texts_of(docs, pairs.join(first, "node"))
-
-    def unit(held):
-        out = []
-        for i, (me, n1, l1, bag1) in enumerate(held["rows"]):
-            for m2, n2, l2, bag2 in held["rows"][i + 1 :]:
-                if l1 != l2 and (held["p"] == held["q"] or me != m2) and (s := jaccard(bag1, bag2)) >= THRESHOLD:
-                    out.append((n1, n2, s))
-        return out
+    per = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = base.stash(per.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).select("band", F.col("m.label").alias("most"), blocks_of(F.col("all")).alias("of_all"), blocks_of(F.col("all") - F.col("m.c")).alias("of_few")), "most")
+    dealt = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    mine = rest.select("band", "node", "label").join(most, "band")
+    few = mine.where("label <> most").select("band", dealt("of_few").alias("p"), each("of_all").alias("q"), F.lit(0).alias("role"), "node", "label")
+    other = mine.select("band", each("of_few").alias("p"), dealt("of_all").alias("q"), F.lit(1).alias("role"), "node", "label")
+    rows = _texts_of(docs, few.union(other).join(first, "node"))
 
     def compare(batches):
-        held = {"at": None, "rows": []}
+        at, held = None, []
         for b in base.chunks(batches, "x"):
             data, off = base.text_buffers(b.column(0))
             doc, key, weight = bags(data, off, idf.value)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            found = []
-            for i, (band, p, q, me, nd, lb) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
-                if held["at"] != (band, p, q):
-                    found += unit(held) if held["rows"] else []
-                    held = {"at": (band, p, q), "p": p, "q": q, "rows": []}
-                held["rows"].append((me, nd, lb, (key[cut[i] : cut[i + 1]].copy(), weight[cut[i] : cut[i + 1]].copy())))
-            yield _links(found)
-        yield _links(unit(held) if held["rows"] else [])
-
-    def _links(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.float64())], names=["a", "b", "similarity"])
-
-    dealt = rows.select("x", "band", "p", "q", "me", "node", "label").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    return dealt.mapInArrow(compare, "a binary, b binary, similarity double")
+            a_, b_, s_ = [], [], []
+            for i, (band, p, q, role, me, label) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                bag = key[cut[i] : cut[i + 1]].copy(), weight[cut[i] : cut[i + 1]].copy()
+                if at != (band, p, q):
+                    at, held = (band, p, q), []
+                if role == 0:
+                    held.append((me, label, bag))
+                    continue
+                for other_node, other_label, other_bag in held:
+                    if label != other_label and (s := jaccard(other_bag, bag)) >= THRESHOLD:
+                        a_.append(other_node)
+                        b_.append(me)
+                        s_.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary()), pa.array(s_, pa.float64())], names=["a", "b", "similarity"])
+
+    units = rows.select("x", "band", "p", "q", "role", "node", "label").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "role")
+    return units.mapInArrow(compare, "a binary, b binary, similarity double")
+
+
+def blocks_of(n):
+    return (F.floor(n / BLOCK) + 1).cast("int")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

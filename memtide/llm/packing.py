@@ -219,8 +219,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Pieces with the sequence each lies in and its offset there.
 
-    Null and empty texts are documents of END_ID alone.  Repeated rows are packed each, an empty table
-    gives no pieces, other columns are not read.  Windows never span the groups of GROUP_PIECES pieces
+    Null and empty texts are documents of END_ID alone; a very long text is encoded whole by one task.  Repeated rows are packed
+    each, pieces of one length in the order of id and start (those of null ids last), an empty table gives no pieces, other
+    columns are not read, whatever their names.  Windows never span the groups of GROUP_PIECES pieces
     that are packed by one task each; a sequence id is the group's number and the window's number in it.
     """
     cut = base.stash(pieces(docs, tokenizer, key, text, window), "pieces")
