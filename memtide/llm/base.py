@@ -60,22 +60,25 @@ def stash(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and
     a lost executor costs a read, not a recomputation.
 
-    ``free``: then let the driver collect its garbage, upon which Spark drops the shuffle files that led to the table.
+    ``free``: first let the driver collect its garbage, upon which Spark drops the shuffle files of tables before this one.
+    (Just after a table is written its plan is still held; collecting then would only move it to the old generation.)
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
     if free:
         spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     got = spark.read.schema(df.schema).parquet(path)
     got._stashed_at = path
     return got
 
 
 def release(*stashed: DataFrame) -> None:
-    """Remove stashed tables that nothing reads any more."""
+    """Remove stashed tables that nothing reads any more, and the shuffle files that led to them."""
     for df in stashed:
         drop_path(df.sparkSession, df._stashed_at)
+    if stashed:
+        stashed[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:

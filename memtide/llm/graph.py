@@ -23,8 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         new = base.stash(step.join(jump, "label").select("node", "old", F.least("label", "root").alias("label")), "labels")
-        base.release(labels)
+        base.drop_path(edges.sparkSession, labels._stashed_at)
         labels = new
         if not new.where("label <> old").limit(1).count():
-            base.release(both)
+            base.drop_path(edges.sparkSession, both._stashed_at)
             return labels
