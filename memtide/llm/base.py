@@ -56,29 +56,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and
-    a lost executor costs a read, not a recomputation.
+#: Rows that cross between Spark and Python at once while a table is written: blobs and texts are long rows.
+BATCH_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    ``free``: first let the driver collect its garbage, upon which Spark drops the shuffle files of tables before this one.
-    (Just after a table is written its plan is still held; collecting then would only move it to the old generation.)
-    """
+
+def stash(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and
+    a lost executor costs a read, not a recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    if free:
-        spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, rows)
     got = spark.read.schema(df.schema).parquet(path)
     got._stashed_at = path
     return got
 
 
 def release(*stashed: DataFrame) -> None:
-    """Remove stashed tables that nothing reads any more, and the shuffle files that led to them."""
+    """Remove stashed tables that nothing reads any more."""
     for df in stashed:
         drop_path(df.sparkSession, df._stashed_at)
-    if stashed:
-        stashed[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:

@@ -596,15 +596,15 @@ def near_passages(docs: DataFrame, n: int) -> DataFrame:
 
     def verified(asks, tag):
         told = beside(docs, asks, n).mapInArrow(fetch, _BLOBS)
-        return base.stash(dealt(told).mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double"), tag, free=True)
+        return base.stash(dealt(told).mapInArrow(check, "d long, h long, s long, n long, d0 long, h0 long, s0 long, n0 long, similarity double"), tag)
 
     docs = docs.select("d", "h", "x")
-    asks = base.stash(dealt(dealt(docs.mapInArrow(scan, _BLOBS)).mapInArrow(by_value, _BLOBS)).mapInArrow(by_document, _BLOBS), "passages-asked", free=True)
+    asks = base.stash(dealt(dealt(docs.mapInArrow(scan, _BLOBS)).mapInArrow(by_value, _BLOBS)).mapInArrow(by_document, _BLOBS), "passages-asked")
     found = verified(asks.where(F.col("kind") == ASK), "passages")
     # what the leads leave open: exactly, with all earlier windows of the same value
     told = asks.where(F.col("kind") == MARK).unionByName(run_blobs(found, n))
     left = dealt(beside(docs, told, n).mapInArrow(left_open, _BLOBS)).mapInArrow(by_value_again, _BLOBS)
-    again = base.stash(dealt(left).mapInArrow(by_document, _BLOBS), "passages-asked", free=True)
+    again = base.stash(dealt(left).mapInArrow(by_document, _BLOBS), "passages-asked")
     more = verified(again, "passages")
     base.release(asks, again)
     return found.unionByName(more)

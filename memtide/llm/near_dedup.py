@@ -199,7 +199,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     owned = texts.select("node", "first", "copies").join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = base.stash(owned.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best")).select("label", F.col("best.first").alias("class_id"), F.col("best.node").alias("class_node")), "best")
-    classes = base.stash(owned.join(best, "label").select("node", "first", "copies", "class_id", "class_node"), "classes", free=True)
+    classes = base.stash(owned.join(best, "label").select("node", "first", "copies", "class_id", "class_node"), "classes")
     base.release(*used, label, best, texts)
     return classes
 
