@@ -62,7 +62,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = base.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, before = base.stash(stage(spark, docs, sf_dir), "stage", free=True), docs
+        docs, before = base.stash(stage(spark, docs, sf_dir), "stage"), docs
         if hasattr(before, "_stashed_at"):
             base.release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
