@@ -32,7 +32,7 @@ HASHES, AGREE = 6, 2
 CONTEXT, SIDE = 6, (WIDTH - 1) // 2
 #: How far alignments may drift inside a passage.
 DRIFT = 16
-HELD = 1 << 19
+HELD = 1 << 18
 #: Of values with so many windows all pairs meet; windows of others meet leads, and what those leave open the exact pass compares.
 FEW = 16
 #: Distinct windows of a value in a block of the exact pass, whose units are pairs of blocks, and the shingles of a passage

@@ -33,7 +33,7 @@ from . import base
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Records that a map task holds before it sends them on; suffixes of the first level of an index family.
-HELD, BATCH = 1 << 20, 1 << 14
+HELD, BATCH = 1 << 19, 1 << 14
 
 #: The contexts' own polynomial: gram and context are two independent hashes of 64 bits.
 _BASE = 0x9FB21C651E98DF25
