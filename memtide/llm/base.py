@@ -171,7 +171,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
-        n = max(n, CHUNK_BYTES // 2)
+        n = max(n, CHUNK_BYTES + 2)
         for k, b in ((0, _BASE), (1, _INV)):
             p = np.full(n, b, np.uint64)
             p[0] = 1
@@ -181,7 +181,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[2]) < n:
-        n = max(n, CHUNK_BYTES // 2)
+        n = max(n, CHUNK_BYTES + 2)
         for k, b in ((2, _PRIME_BASE), (3, _PRIME_INV)):
             p = np.ones(n, np.uint64)
             have = 1

@@ -47,7 +47,7 @@ def _context_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) + 1
     if len(_POW[0]) < n:
         for k, b in enumerate((_BASE, _INV)):
-            p = np.full(max(n, base.CHUNK_BYTES // 2), b, np.uint64)
+            p = np.full(max(n, base.CHUNK_BYTES + 2), b, np.uint64)
             p[0] = 1
             _POW[k] = np.cumprod(p)
     acc = np.empty(n, np.uint64)
