@@ -387,35 +387,44 @@ def verify(a: np.ndarray, b: np.ndarray, width: int = WIDTH) -> list[tuple[int,
     """
     if len(b) < width or not len(a):
         return []
-    known = np.sort(a)
-    at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    # a sorted once: first is the place in that order of a shingle's first occurrence
+    place = np.argsort(a, kind="stable")
+    known = a[place]
+    first = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    held = known[first] == b
     need = 2 * THRESHOLD / (1 + THRESHOLD) * width
-    if np.count_nonzero(known[at] == b) < need:
+    c = np.concatenate([[0], np.cumsum(held)])
+    if (c[width:] - c[:-width]).max() < need:  # at no alignment is there a passage
         return []
-    values, rank, times = np.unique(a, return_inverse=True, return_counts=True)
-    place = np.sort((rank.astype(np.int64) << 32) | np.arange(len(a)))
-    at = np.minimum(np.searchsorted(values, b), len(values) - 1)
-    found = np.flatnonzero(values[at] == b)
-    key = at[found].astype(np.int64) << 32
-    first = np.searchsorted(place, key)
-    once = times[at[found]] == 1
-    shifts = np.sort((place[first] & 0xFFFFFFFF)[once] - found[once])
+    found = np.flatnonzero(held)
+    first = first[found]
+    again = np.concatenate([known[1:] == known[:-1], [False]])
+    once = ~again[first]
+    shifts = np.sort(place[first[once]] - found[once])
     # alignments: those of shingles that a has once, and the one that the ranges were cut for
-    tries = [int(np.median(x)) for x in np.split(shifts, np.flatnonzero(np.diff(shifts) > DRIFT) + 1) if len(x) >= need / 4]
+    cut = [0, *(np.flatnonzero(shifts[1:] - shifts[:-1] > DRIFT) + 1).tolist(), len(shifts)]
+    tries = [int((shifts[(x + y - 1) // 2] + shifts[(x + y) // 2]) / 2) for x, y in zip(cut[:-1], cut[1:], strict=True) if y - x >= need / 4]
     middle = (len(a) - len(b)) // 2
     tries += [middle] if all(abs(middle - t) > DRIFT for t in tries) else []
+    if not once.all():
+        rank = np.concatenate([[0], np.cumsum(~again[:-1])]) << 32
+        key, ranked = rank[first], rank | place
     out = []
     for t in tries:
-        # of a shingle's places in a the one nearest to the alignment
-        want = key | np.clip(found + t, 0, len(a))
-        j = np.searchsorted(place, want)
-        lo, hi = np.maximum(j - 1, 0), np.minimum(j, len(place) - 1)
-        gap = lambda k: np.where(place[k] >> 32 == key >> 32, np.abs(place[k] - want), 1 << 40)  # noqa: B023, E731
-        near = np.where(gap(lo) <= gap(hi), lo, hi)
-        ok = np.minimum(gap(lo), gap(hi)) <= DRIFT
+        want = np.clip(found + t, 0, len(a))
+        if once.all():
+            at = place[first]
+        else:  # of a shingle's places in a the one nearest to the alignment
+            j = np.searchsorted(ranked, key | want)
+            lo, hi = np.maximum(j - 1, 0), np.minimum(j, len(place) - 1)
+            gap = lambda k: np.where(rank[k] == key, np.abs(place[k] - want), 1 << 40)  # noqa: B023, E731
+            at = place[np.where(gap(lo) <= gap(hi), lo, hi)]
+        ok = np.abs(at - want) <= DRIFT
+        if np.count_nonzero(ok) < need:
+            continue
         aligned, where = np.zeros(len(b), bool), np.zeros(len(b), np.int64)
         aligned[found[ok]] = True
-        where[found[ok]] = place[near[ok]] & 0xFFFFFFFF
+        where[found[ok]] = at[ok]
         c = np.concatenate([[0], np.cumsum(aligned)])
         count = c[width:] - c[:-width]
         todo = [(0, len(count), int(np.ceil(need)))]

@@ -371,3 +371,20 @@ def test_crc_of_pieces(name):
     for i, t in enumerate(texts):
         want = np.array([*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
         assert zlib.crc32(ids[bound[i] : bound[i + 1]].astype("<u4").tobytes()) == zlib.crc32(want.tobytes())
+
+
+def test_verification_sorts_once_and_ends_early(monkeypatch):
+    calls = []
+    for name in ("argsort", "sort", "unique"):
+        f = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, name=name, f=f, **b: (calls.append((name, len(x))), f(x, *a, **b))[1])
+    a = np.arange(1000, 1120, dtype=np.uint32)
+    b = np.concatenate([np.arange(40, dtype=np.uint32), a[20:100], np.arange(100, 130, dtype=np.uint32)])
+    assert compact_windows.verify(a, b) == [(40, 120, 20, 100, 1.0)]
+    assert calls == [("argsort", 120), ("sort", 80)]
+    # as many shared shingles, but in no passage enough of them
+    calls.clear()
+    b = np.arange(160, dtype=np.uint32)
+    b[::2] = a[20:100]
+    assert compact_windows.verify(a, b) == []
+    assert calls == [("argsort", 120)]
