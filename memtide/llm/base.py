@@ -56,9 +56,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows that cross between Spark and Python at once while a table is written: blobs and texts are long rows.
-BATCH_ROWS = 1000
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a table is written: rows and bytes that cross between Spark and Python at once (blobs and texts are long rows), and the
+#: shuffle files of the job go as it ends, not when the driver happens to collect its garbage.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -66,12 +71,14 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     a lost executor costs a read, not a recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    rows = spark.conf.get(_BATCH_ROWS)
-    spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH_ROWS, rows)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     got = spark.read.schema(df.schema).parquet(path)
     got._stashed_at = path
     return got

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import duckdb
@@ -449,3 +450,25 @@ def test_compact_windows_in_crowded_groups(spark):
     want = {k for k, s in plain_passages(rows).items() if s}
     got = {r.doc_id for r in compact_windows.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_spans}
     assert len(want) > 100 and len(want - got) <= 0.05 * len(want) and not got - want
+
+
+def test_stash_leaves_no_shuffle_files_and_no_settings(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before = [spark.conf.get(k) for k in names]
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = lambda: sum(b.isShuffle() for b in (lambda s: [s.apply(i) for i in range(s.size())])(env.blockManager().diskBlockManager().getAllBlocks()))
+    had = shuffles()
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    rows = spark.range(300).selectExpr("id", "repeat('x', 100000) as x").repartition(3, "id").select("x")
+    got = base.stash(rows.mapInArrow(size, "n long"), "test")
+    deadline = time.monotonic() + 10
+    while shuffles() > had and time.monotonic() < deadline:  # the files go in the background
+        time.sleep(0.1)
+    assert shuffles() <= had
+    assert max(r.n for r in got.collect()) <= base.BATCH_BYTES + 200_000
+    assert [spark.conf.get(k) for k in names] == before
+    base.release(got)
