@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -116,23 +118,45 @@ def by_bucket(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[It
             for lo, hi in itertools.pairwise(cut):
                 yield int(k[lo]), b.slice(lo, hi - lo)
 
-    for _, part in itertools.groupby(slices(), key=lambda x: x[0]):
-        yield (b for _, b in part)
+    try:
+        for _, part in itertools.groupby(slices(), key=lambda x: x[0]):
+            yield (b for _, b in part)
+    finally:
+        give_back()
+
+
+_given_back = 0.0
+
+
+def give_back(pause: float = 1.0) -> None:
+    """Freed memory goes back to the system, every ``pause`` seconds at most: Python workers live from stage to stage, and what
+    the allocators keep for them would count beside all that comes later."""
+    global _given_back
+    if time.monotonic() - _given_back < pause:
+        return
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+    _given_back = time.monotonic()
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of record batches whose ``text`` column holds at most ``limit`` bytes (or one row)."""
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        off = text_buffers(b.column(b.schema.get_field_index(text)))[1]
-        lo = 0
-        while lo < n:
-            hi = int(np.searchsorted(off, off[lo] + limit, side="right")) - 1
-            hi = min(n, max(hi, lo + 1))
-            yield b.slice(lo, hi - lo)
-            lo = hi
+    try:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            off = text_buffers(b.column(b.schema.get_field_index(text)))[1]
+            lo = 0
+            while lo < n:
+                hi = int(np.searchsorted(off, off[lo] + limit, side="right")) - 1
+                hi = min(n, max(hi, lo + 1))
+                yield b.slice(lo, hi - lo)
+                lo = hi
+    finally:
+        give_back()
 
 
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """The parts that need no session: each against a plain version of itself."""
 
 import io
+import os
 import pathlib
 import random
 import re
@@ -388,3 +389,16 @@ def test_verification_sorts_once_and_ends_early(monkeypatch):
     b[::2] = a[20:100]
     assert compact_windows.verify(a, b) == []
     assert calls == [("argsort", 120)]
+
+
+def test_freed_memory_goes_back_at_the_end_of_a_partition():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(["a", "b"])], names=["bucket", "x"])
+    for read in (lambda: [list(p) for p in base.by_bucket(iter([batch]))], lambda: list(base.chunks(iter([batch]), "x"))):
+        held = [np.ones(10_000, np.uint8) for _ in range(20_000)]
+        kept = held[::500]  # pins what lies behind it
+        del held
+        high = resident()
+        base._given_back = 0.0
+        read()
+        assert resident() < high - 100, len(kept)
