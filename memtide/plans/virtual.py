@@ -12,6 +12,8 @@ from ..functions import modes
 from ..functions.rounding import div_round_up
 
 ALLOC_END = 8135
+#: Of the line items' parquet to a partition, some 150,000 rows.
+PART_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +33,39 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("dir_id"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), (F.col("l_quantity") * 100).cast("long").alias("length"), mode.alias("mode"), F.col("l_shipdate").alias("time"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for what is made of line items: one for every PART_BYTES of their table, and no fewer than the session's, which Spark would go back to in joins."""
+    size = int(str(table(spark, sf_dir, "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def starts(f: DataFrame, d: DataFrame, n: int) -> DataFrame:
+    """(card_id, dir_id, start): clusters that the files of a card's earlier directories take. A directory that a card has twice starts once."""
+    sizes = f.select("dir_id", "n").repartition(n, "dir_id").groupBy("dir_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"))
+    sized = d.select("card_id", "dir_id").repartition(n, "dir_id").join(sizes, "dir_id").repartition(n, "card_id")
+    upto, own = Window.partitionBy("card_id").orderBy("dir_id"), Window.partitionBy("card_id", "dir_id")
+    return sized.select("card_id", "dir_id", (F.sum("size").over(upto) - F.sum("size").over(own)).alias("start"))
+
+
+def runs(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """Files with the first of their n clusters, dealt out card by card in order; how="left" keeps files without a directory, whose first is null.
+
+    Files are sent once, to their directory; only directories are summed card by card. The rows stay dealt out by dir_id.
+    Files that differ in time alone make the same rows, so time is no part of the order.
+    """
+    n = parts(spark, sf_dir)
+    f = files(spark, sf_dir).drop("time")
+    clusters = div_round_up(F.col("length"), 1024)
+    at = starts(f.withColumn("n", clusters), dirs(spark, sf_dir), n)
+    w = Window.partitionBy("card_id", "dir_id").orderBy(*(F.asc_nulls_last(c) for c in ("line", "part", "supp", "length", "mode"))).rowsBetween(Window.unboundedPreceding, -1)
+    placed = f.repartition(n, "dir_id").join(at.repartition(n, "dir_id"), "dir_id", how).withColumn("n", clusters)
+    return placed.select("card_id", "dir_id", "line", "part", "supp", "length", "mode", "n", (F.col("start") + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("first"))
+
+
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of every file, dealt out card by card in order; those of odd lines that are deleted stay allocated (lost)."""
-    f = files(spark, sf_dir).join(dirs(spark, sf_dir).select("dir_id", "card_id"), "dir_id")
-    n = div_round_up(F.col("length"), 1024)
-    w = Window.partitionBy("card_id").orderBy("dir_id", "line", "part", "supp", "length", "mode", "time").rowsBetween(Window.unboundedPreceding, -1)
-    placed = f.withColumn("n", n).withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return placed.where("n > 0").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("card_id", "dir_id", "line", "part", "supp", "length", "mode", "pos", (F.col("first") + F.col("pos")).alias("cluster"))
+    """Clusters of every file; those of odd lines that are deleted stay allocated (lost)."""
+    placed = runs(spark, sf_dir).where("n > 0").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return placed.select("card_id", "dir_id", "line", "part", "supp", "length", "mode", "pos", (F.col("first") + F.col("pos")).alias("cluster"))
 
 
 def fat(chain_rows: DataFrame) -> DataFrame:
