@@ -5,7 +5,7 @@ A test harness, not a feature: customers are cards, orders their save directorie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import modes
@@ -68,9 +68,9 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("card_id", "dir_id", "line", "part", "supp", "length", "mode", "pos", (F.col("first") + F.col("pos")).alias("cluster"))
 
 
-def fat(chain_rows: DataFrame) -> DataFrame:
+def fat(chain_rows: DataFrame, *more: Column) -> DataFrame:
     live = modes.exists(F.col("mode"))
-    return chain_rows.select("card_id", "cluster", (live | (F.col("line") % 2 == 1)).alias("allocated"))
+    return chain_rows.select("card_id", "cluster", (live | (F.col("line") % 2 == 1)).alias("allocated"), *more)
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
